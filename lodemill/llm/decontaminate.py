@@ -166,36 +166,42 @@ def _without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if text is None or not hits:
                 out.append(text)
                 continue
-            raw, keep = text.encode(), np.ones(len(text.encode()), bool)
+            raw, gone = text.encode(), set(hits)
+            keep = np.ones(len(raw), bool)
             words = TextBlock(pa.array([text]), lowered=True).words(ALNUM)
             for a in hits:
                 # A run of hit words goes with what stands between them.
-                keep[words.starts[a] : words.starts[a + 1] if a + 1 in hits else words.ends[a]] = False
+                keep[words.starts[a] : words.starts[a + 1] if a + 1 in gone else words.ends[a]] = False
             out.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode())
-        rest = [batch.column(c) for c in ("d",)]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(out, pa.string())], schema=pa.schema([batch.schema.field("d"), pa.field("text", pa.string())]))
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(out, pa.string())], schema=pa.schema([batch.schema.field("d"), pa.field("text", pa.string())]))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", min_items: int = 2) -> DataFrame:
-    """docs without the documents that hold windows of min_items items or more, or (``remove="spans"``) without the
-    hit words of those documents. All columns stay as they are, and so do all other documents. Repeated rows share
-    their fate. A null text is never contaminated."""
+    """docs without what leaked from the benchmark. All columns stay, and so does every row that isn't named here.
+
+    ``remove="documents"`` drops the rows that hold windows of ``min_items`` items or more; ``"spans"`` cuts the hit
+    words of these rows; ``"both"`` drops these rows and cuts hit words from rows with fewer items. Repeated rows share
+    their fate. A null text is never contaminated.
+    """
+    if remove not in ("documents", "spans", "both"):
+        raise ValueError("remove must be documents, spans or both")
+    least = 1 if remove == "both" else min_items
     marked = (
         scan(docs, benchmark)
-        .filter(F.size("items") >= min_items)
+        .filter(F.size("items") >= least)
         .groupBy("doc_id", "row")
-        .agg(F.first("hits").alias("hits"))
-        .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "hits")
+        .agg(F.first("hits").alias("hits"), (F.size(F.first("items")) >= min_items).alias("whole"))
+        .select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "hits", "whole")
         .hint("shuffle_hash")
     )
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("d.text") == F.col("_row"))
     if remove == "documents":
         return packed(docs).join(marked, same, "left_anti").select("d.*")
-    if remove != "spans":
-        raise ValueError("remove must be documents or spans")
-    hit = packed(docs).join(marked, same, "left").select("d", F.col("d.text").cast("string").alias("text"), "hits")
+    hit = packed(docs).join(marked, same, "left")
+    if remove == "both":
+        hit = hit.filter(~F.coalesce("whole", F.lit(False)))
     kind = f"d {packed(docs).schema['d'].dataType.simpleString()}, text string"
-    cut = hit.mapInArrow(_without_words, kind)
+    cut = hit.select("d", F.col("d.text").cast("string").alias("text"), "hits").mapInArrow(_without_words, kind)
     return cut.select(*[F.col("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
 
 

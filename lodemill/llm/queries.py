@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, line_dedup, packing, quality_rules, sharding, url_filter
+from lodemill.llm import decontaminate, html_extract, line_dedup, near_dup, packing, quality_net, quality_rules, sharding, url_filter
 from lodemill.llm._base import table
 
 
@@ -40,6 +40,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document: its class, its copies and its links; links between different texts make the classes."""
+    classes, _ = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,7 +63,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_url_filter, op3_sharding, op4_line_dedup, op9_decontamination, op10_packing)}
+    every = (
+        op1_quality_rules,
+        op2_url_filter,
+        op3_sharding,
+        op4_line_dedup,
+        op6_html_extraction,
+        op7_quality_classifier,
+        op8_ngram_jaccard,
+        op9_decontamination,
+        op10_packing,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
