@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm import decontaminate, html_extract, line_dedup, near_dup, packing, quality_net, quality_rules, sharding, url_filter
+from lodemill.llm import decontaminate, html_extract, line_dedup, near_dup, packing, quality_net, quality_rules, sharding, suffix_dedup, url_filter
 from lodemill.llm._base import table
 
 
@@ -40,6 +40,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_url_filter,
         op3_sharding,
         op4_line_dedup,
+        op5_suffix_dedup,
         op6_html_extraction,
         op7_quality_classifier,
         op8_ngram_jaccard,
