@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from lodemill.plans import document_queries, sql_queries
+from lodemill.plans.dialect import run_select
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity >= 10")
-    return lines.groupBy("l_returnflag").agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum("l_quantity"), F.lit(0.0)).alias("q"),
-        F.round(F.coalesce(F.avg("l_extendedprice"), F.lit(0.0)), 4).alias("p"),
-    )
+FLAGSHIP = "SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS q, MAX(l_extendedprice) AS p FROM lineitem WHERE l_quantity >= 10 GROUP BY l_returnflag"
 
 
-_SQL = {
-    "flagship": """SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, round(avg(l_extendedprice), 4) AS p
-        FROM lineitem WHERE l_quantity >= 10 GROUP BY l_returnflag"""
-}
+class Tables(Mapping):
+    """The Parquet tables of a folder; a table is opened when it is asked for."""
+
+    NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def __iter__(self):
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+
+def _dialect(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_select(spark, text, lambda name: Tables(spark, sf_dir).get(name))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": flagship}
+    out = {"flagship": _dialect(FLAGSHIP)}
+    out |= {name: _dialect(text) for name, (text, _) in sql_queries.QUERIES.items()}
+    return out | {name: run for name, (run, _) in document_queries.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    out = {"flagship": FLAGSHIP}
+    out |= {name: sql or text for name, (text, sql) in sql_queries.QUERIES.items()}
+    return out | {name: sql for name, (_, sql) in document_queries.QUERIES.items()}
