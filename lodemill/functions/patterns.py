@@ -54,7 +54,17 @@ def _class_end(pattern: str, at: int) -> int:
 
 
 def _class(body: str) -> str:
+    """A range that runs backwards holds nothing."""
     negated = body.startswith("^")
-    body = body[negated:]
-    out = "".join("-" if c == "-" and 0 < i < len(body) - 1 else _quoted(c) for i, c in enumerate(body))
+    body, out, i = body[negated:], "", 0
+    while i < len(body):
+        if i + 2 < len(body) and body[i + 1] == "-":
+            low, high = body[i], body[i + 2]
+            out += f"{_quoted(low)}-{_quoted(high)}" if low <= high else ""
+            i += 3
+        else:
+            out += _quoted(body[i])
+            i += 1
+    if not out:
+        return "." if negated else "(?!.)(?=.)"
     return f"[{'^' if negated else ''}{out}]"

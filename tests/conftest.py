@@ -1,6 +1,14 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+# Python workers import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
