@@ -7,7 +7,8 @@ The tree, per host:
 2. A branch whose labels look like those of its siblings together (difference of the two shares under ``z`` standard
    errors, all shares smoothed) is merged with them into ``*``; so is a branch with fewer than ``min_urls`` urls.
 3. A template is rejected when its smoothed purity, (good + prior * weight) / (labelled + weight), is under
-   ``min_purity``. The prior is the smoothed purity of the host, whose own prior is that of the whole table.
+   ``min_purity``. The prior is the smoothed purity of the host, whose own prior is that of the whole table. A host
+   without any label has no evidence against it and is allowed.
 
 Labels are the verdicts of the explicit rules, then the labels that the caller gives by url.
 """
@@ -70,7 +71,7 @@ def url_verdicts(
 
     Returns page_id, host, path, rule, verdict, template and purity, a row for each row of urls. Null urls and urls
     without ``://`` have empty host and path and are judged like the other urls of the empty host. With no label at
-    all, purity is 0.5 and everything is allowed. Columns of urls beside the two are ignored; an empty table gives an
+    all, everything is allowed. Columns of urls beside the two are ignored; an empty table gives an
     empty result.
     """
     host, path = host_and_path(F.col("url"))
@@ -121,9 +122,10 @@ def url_verdicts(
         sums.join(hosts, "host")
         .withColumn("prior", _share(F.col("h_good"), F.col("h_labelled"), whole.scalar(), weight))
         .withColumn("purity", _share(F.col("good"), F.col("labelled"), F.col("prior"), weight))
-        .select("host", "template", "purity")
+        .withColumn("rejected", (F.col("purity") < min_purity) & (F.col("h_labelled") > 0))
+        .select("host", "template", "purity", "rejected")
     )
     of_looks = templates.select("host", "looks", "template").join(pure, ["host", "template"])
     found = pages.join(of_looks, ["host", "looks"], "left")
-    by_tree = F.when(F.col("purity") >= min_purity, F.lit("allow")).otherwise(F.lit("block"))
+    by_tree = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
     return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_tree).alias("verdict"), "template", "purity")
