@@ -3,12 +3,13 @@
 Documents are linked when their texts are equal. Shard counts follow the law ``rows``: they differ by one at most.
 
 Equal texts are interchangeable, so propagation works on rows (text, shard, count) instead of on single links: the
-neighbours of a document in shard s are the counts of its text over all shards. In each round
+neighbours of a document in shard s are the counts of its text over all shards. A text that alone fills whole shards
+is given them first (there are at most ``n_shards`` such shards); its rest is a text like others. In each round
 
-1. every text names the shard that holds most of its documents, or, where that is full, the next best with room;
-2. its documents elsewhere want to move there;
-3. moves are admitted in a fixed order up to the free room of each shard (``n_shards`` numbers, summed by Spark);
-   part of a text's documents may be admitted, which is how a text larger than a shard is split.
+1. every text names the shard that holds most of its documents, and its documents elsewhere want to move there;
+2. quotas for each pair of shards are the largest that keep every shard within its capacity when all admitted moves
+   happen at once: a shard takes as many as it has room and loses (``n_shards`` squared numbers, summed by Spark);
+3. moves are admitted in a fixed order up to their quota; part of a text's documents may be admitted.
 
 Rounds end when none improves the cut. Texts of one document have no links; they fill what room is left at the end,
 which makes the counts exact. Numbering inside a shard or a text runs in two levels (block totals, then rank inside
@@ -25,42 +26,53 @@ from lodemill.llm.ranking import ranked
 
 LAW = "rows"
 #: Rows that one task numbers.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 
 
-def _propagate(counts: DataFrame, capacity: dict[int, int], rounds: int, scratch: Scratch) -> DataFrame:
+def _quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> list[list[int]]:
+    """The most moves from shard to shard, of those wanted, that overfill no shard when all happen at once."""
+    k = len(room)
+    flow = [[wanted.get((s, t), 0) for t in range(k)] for s in range(k)]
+    changed = True
+    while changed:
+        changed = False
+        for t in range(k):
+            excess = sum(flow[s][t] for s in range(k)) - sum(flow[t]) - room[t]
+            while excess > 0:
+                s = max(range(k), key=lambda s: flow[s][t])
+                less = min(excess, flow[s][t])
+                flow[s][t] -= less
+                excess -= less
+                changed = True
+    return flow
+
+
+def _propagate(counts: DataFrame, capacity: list[int], rounds: int, scratch: Scratch) -> DataFrame:
     """counts: (text, shard, n) of the texts with two or more documents. Returns the same, moved under the quotas."""
-    spark = counts.sparkSession
     state = scratch.written(counts)
     cut = None
-    for turn in range(rounds):
+    for _ in range(rounds):
         loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
-        room = [max(0, capacity[s] - loads.get(s, 0)) for s in range(len(capacity))]
-        room_of = F.array(*[F.lit(x).cast("long") for x in room])
-        text = Window.partitionBy("text")
-        # A shard without room attracts nobody; among the rest the fullest of this text wins, then the emptiest shard.
-        best = F.max(F.struct((F.when(F.get(room_of, F.col("shard")) > 0, F.col("n")).otherwise(F.lit(0))).alias("pull"), F.col("n"), (-F.col("shard")).alias("s"))).over(text)
-        emptiest = max(range(len(room)), key=lambda s: room[s])
-        named = state.withColumn("best", best).withColumn("most", F.max(F.struct("n", (-F.col("shard")).alias("s"))).over(text))
-        # A text whose largest part sits in a full shard keeps that part; its other parts gather in the best shard with room.
-        target = F.when(F.col("best.pull") > 0, -F.col("best.s")).otherwise(F.lit(emptiest))
-        stays = (F.col("shard") == -F.col("most.s")) | (F.col("shard") == target)
-        wants = named.select("text", "shard", "n", F.when(~stays, target).alias("to"))
-        wants = wants.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
-        totals = wants.filter("to is not null").groupBy("to", "block").agg(F.sum("n").alias("wanted"))
-        earlier = Window.partitionBy("to").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        totals = totals.select("to", "block", F.coalesce(F.sum("wanted").over(earlier), F.lit(0)).alias("before_block"))
-        inside = Window.partitionBy("to", "block").orderBy("text", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        # Ties go to a shard by hash, so that moves in both directions balance.
+        most = F.max(F.struct("n", F.xxhash64("text", "shard"), "shard")).over(Window.partitionBy("text"))
+        named = state.select("text", "shard", "n", most.shard.alias("to")).withColumn("block", F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
+        moving = named.filter("to <> shard")
+        blocks = moving.groupBy("shard", "to", "block").agg(F.sum("n").alias("wanted"))
+        wanted = {(r["shard"], r["to"]): r["n"] for r in blocks.groupBy("shard", "to").agg(F.sum("wanted").alias("n")).collect()}
+        quotas = _quotas(wanted, [c - loads.get(s, 0) for s, c in enumerate(capacity)])
+        quota = F.get(F.get(F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in quotas]), F.col("shard")), F.col("to"))
+        earlier = Window.partitionBy("shard", "to").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select("shard", "to", "block", F.coalesce(F.sum("wanted").over(earlier), F.lit(0)).alias("before_block"))
+        inside = Window.partitionBy("shard", "to", "block").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
         moved = (
-            wants.filter("to is not null")
-            .withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-            .join(F.broadcast(totals), ["to", "block"])  # 64 rows for each shard
-            .withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), F.get(room_of, F.col("to")) - F.col("before") - F.col("before_block"))))
+            moving.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            .join(blocks, ["shard", "to", "block"])
+            .withColumn("take", F.greatest(F.lit(0), F.least(F.col("n"), quota - F.col("before") - F.col("before_block"))))
         )
         parts = (
             moved.select("text", F.col("to").alias("shard"), F.col("take").alias("n"))
             .unionByName(moved.select("text", "shard", (F.col("n") - F.col("take")).alias("n")))
-            .unionByName(wants.filter("to is null").select("text", "shard", "n"))
+            .unionByName(named.filter("to = shard").select("text", "shard", "n"))
         )
         after = scratch.written(parts.filter("n > 0").groupBy("text", "shard").agg(F.sum("n").cast("long").alias("n")))
         now = after.count()
@@ -72,6 +84,22 @@ def _propagate(counts: DataFrame, capacity: dict[int, int], rounds: int, scratch
     return state
 
 
+def _whole_shards(groups: DataFrame, capacity: list[int]) -> tuple[dict[int, int], dict[int, int]]:
+    """(shard -> text that fills it, text -> documents of it that are left). Small: a shard's worth of rows each."""
+    least = max(2, min(capacity))
+    big = sorted((-r["n"], r["text"]) for r in groups.filter(F.col("n") >= least).collect())  # at most one for each shard
+    owner: dict[int, int] = {}
+    left: dict[int, int] = {}
+    free = list(range(len(capacity)))
+    for n, text in big:
+        n = -n
+        while free and n >= capacity[free[0]] > 0:
+            n -= capacity[free[0]]
+            owner[free.pop(0)] = text
+        left[text] = n
+    return owner, left
+
+
 def balanced_shards(docs: DataFrame, n_shards: int = 24, rounds: int = 6, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of docs.
 
@@ -92,12 +120,24 @@ def balanced_shards(docs: DataFrame, n_shards: int = 24, rounds: int = 6, scratc
     total = rows.count()
     blocks = max(1, total // BLOCK_ROWS)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    capacity = {s: total // n_shards + (s < total % n_shards) for s in range(n_shards)}
-    groups = rows.groupBy("text").agg(F.count("*").alias("n")).filter("n > 1")
-    # First labels: linked rows are dealt to the shards in turn, so no shard starts above its capacity.
-    linked = ranked(rows.join(groups.select("text"), "text", "left_semi"), [], ["doc_id", "text"], "r")
-    linked = linked.groupBy("text", F.pmod("r", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count("*").alias("n"))
-    placed = _propagate(linked, capacity, rounds, scratch)
+    capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+    groups = scratch.written(rows.groupBy("text").agg(F.count("*").alias("n")).filter("n > 1"))
+    owner, left = _whole_shards(groups, capacity)
+    free = [s for s in range(n_shards) if s not in owner]
+    # First labels: linked rows are dealt to the free shards in turn, larger ones first, so none starts overfull.
+    linked = rows.join(groups.select("text"), "text", "left_semi").filter(~F.col("text").isin(list(left)))
+    linked = linked.select("text", "doc_id", "block")
+    for text, n in left.items():
+        rest = spark.range(n).select(F.lit(text).alias("text"), F.col("id").alias("doc_id"), F.pmod("id", F.lit(blocks)).cast("int").alias("block"))
+        linked = linked.unionByName(rest)
+    linked = ranked(linked.withColumn("all", F.lit(0)), ["all"], ["doc_id", "text"], "r")
+    turn = F.get(F.array(*[F.lit(s) for s in free or [0]]), F.pmod("r", F.lit(max(1, len(free)))).cast("int"))
+    linked = linked.groupBy("text", turn.alias("shard")).agg(F.count("*").alias("n"))
+    inner = [0 if s in owner else c for s, c in enumerate(capacity)]
+    placed = _propagate(linked, inner, rounds, scratch)
+    if owner:
+        whole = spark.createDataFrame([(text, s, capacity[s]) for s, text in owner.items()], "text long, shard int, n long")
+        placed = placed.unionByName(whole).groupBy("text", "shard").agg(F.sum("n").alias("n"))
     loads = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
     need = [capacity[s] - loads.get(s, 0) for s in range(n_shards)]
     ends = [sum(need[: s + 1]) for s in range(n_shards)]
