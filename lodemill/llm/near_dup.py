@@ -8,10 +8,12 @@ The forest: every node has ``trees`` sequences of min-hashes, sorted as prefixes
 the full depth and shortens the prefix, level by level, until the expected recall for pairs at the threshold reaches
 the target; that depth is the floor for all nodes. Below it a trie node with few members is shortened by one more
 level, which costs little and finds more. Members of one trie node are compared by size and by all their min-hashes
-(eight bits each), then the pairs that are left by their exact sets.
+(eight bits each); what looks alike makes candidate groups. In each candidate group all pairs are compared by their
+exact sets, whichever tree they met in.
 
-A trie node with many members is cut into blocks in order of size, and each pair of blocks is a task of its own, so
-no group has to fit into a task and none is capped. Only links between different sets leave the comparison.
+Pairs stay inside the tasks: a comparison gives its members' link counts and a spanning forest of their links, a row
+for each member. A trie node or a group with many members is cut into blocks in order of size, and each pair of blocks
+is compared on its own, so no group has to fit into a task and none is capped.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ TARGET_RECALL = 0.999
 FEW = 16
 #: Members of a trie node that one task compares with each other or with as many others.
 BLOCK = 512
+#: Members of a group whose exact sets one comparison holds, twice.
+EXACT_BLOCK = 256
 NULL_ID = -(1 << 63)
 
 
@@ -151,39 +155,59 @@ def _compare(threshold: float, slots: int):
             for c in ("bucket", "a", "b"):
                 change[1:] |= columns[c][1:] != columns[c][:-1]
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, slots)
-            x, y = pairs(np.cumsum(change), columns["a"] != columns["b"], columns["block"], columns["node"], columns["n"], sig)
+            x, y = forest(*pairs(np.cumsum(change), columns["a"] != columns["b"], columns["block"], columns["node"], columns["n"], sig))
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
-        def last_run(batch: pa.RecordBatch) -> int:
-            """Where the run at the end of the batch begins."""
-            change = np.zeros(batch.num_rows, bool)
-            for c in ("bucket", "a", "b"):
-                v = batch.column(c).to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            at = np.flatnonzero(change)
-            return int(at[-1]) if len(at) else 0
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                cut = last_run(part)
-                if cut or not held:
-                    yield flush(pa.Table.from_batches([*held, part.slice(0, cut)]))
-                    held = [part.slice(cut)]
-                    continue
-                before, now = held[-1].slice(held[-1].num_rows - 1), part.slice(0, 1)
-                if any(before.column(c)[0] != now.column(c)[0] for c in ("bucket", "a", "b")):
-                    yield flush(pa.Table.from_batches(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield flush(pa.Table.from_batches(held))
+        for rows in whole_runs(batches, ("bucket", "a", "b"), 4096):
+            yield flush(rows)
 
     return run
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], size: int) -> Iterator[pa.Table]:
+    """Tables of about ``size`` rows that never end inside a run of rows with equal keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for k in range(0, batch.num_rows, size):
+            part = batch.slice(k, size)
+            # With the last row before it: a run may go on.
+            values = [np.concatenate([held[-1].column(c).to_numpy()[-1:] if held else part.column(c).to_numpy()[:1], part.column(c).to_numpy()]) for c in keys]
+            change = np.zeros(part.num_rows, bool)
+            for v in values:
+                change |= v[1:] != v[:-1]
+            at = np.flatnonzero(change)
+            if len(at):
+                cut = int(at[-1])
+                if held or cut:
+                    yield pa.Table.from_batches([*held, part.slice(0, cut)])
+                held = [part.slice(cut)]
+            else:
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (smallest member, other member) that connect what the pairs connect, one for each other member."""
+    nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[other]], nodes[other]
+
+
 def candidates(nodes: DataFrame, trees: int, depth: int, threshold: float = THRESHOLD, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """(x, y), x < y: pairs of nodes that share a trie node and look similar by all their min-hashes."""
+    """(x, y), x < y: links that connect the nodes that share a trie node and look similar by all their min-hashes."""
     nodes = nodes.filter("n > 0")
     leaf = _leaves(nodes, trees, depth)
     at_short, at_long = Window.partitionBy("tree", "short"), Window.partitionBy("tree", "short", "long")
@@ -214,36 +238,99 @@ def candidates(nodes: DataFrame, trees: int, depth: int, threshold: float = THRE
     return dealt.mapInArrow(_compare(threshold, slots), "x long, y long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD, n: int = N, scratch: Scratch | None = None) -> DataFrame:
-    """(x, y, jaccard): the pairs whose exact sets reach the threshold."""
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections between sorted sets, as a matrix; sets come as arrays of hashes."""
+    every = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in [*left, *right]])
+    _, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
+    # Shingles of one set alone don't count; the rest is taken some thousands at a time.
+    column = np.cumsum(counts > 1) - 1
+    shared = counts[inverse] > 1
+    column, owner = column[inverse[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (low, low + width))
+        m = np.zeros((len(left) + len(right), width), np.float32)
+        m[owner[i:j], column[i:j] - low] = 1
+        out += m[: len(left)] @ m[len(left) :].T
+    return out
+
+
+def _exact(threshold: float, all_pairs: bool):
+    """Compare the runs of (group, a, b): link counts and a spanning forest of the links, or all linked pairs."""
+
+    def compared(rows: pa.Table) -> list[tuple]:
+        rows = rows.combine_chunks()
+        node, block, size, members = (rows.column(c).to_numpy() for c in ("node", "block", "n", "members"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")]
+        cross = rows.column("a")[0] != rows.column("b")[0]
+        one = np.flatnonzero(block == rows.column("a")[0].as_py())
+        two = np.flatnonzero(block == rows.column("b")[0].as_py()) if cross else one
+        common = _overlaps([sets[i] for i in one], [sets[i] for i in two])
+        jaccard = common / np.maximum(1, size[one][:, None] + size[two][None, :] - common)
+        # One rounding of the quotient doesn't decide.
+        linked = common >= threshold * (size[one][:, None] + size[two][None, :] - common) - 1e-6
+        if not cross:
+            np.fill_diagonal(linked, False)
+        i, j = np.nonzero(linked if cross else np.triu(linked))
+        x, y = np.minimum(node[one[i]], node[two[j]]), np.maximum(node[one[i]], node[two[j]])
+        if all_pairs:
+            return [(x, y, jaccard[i, j].astype(np.float64), np.zeros(len(x), np.int64))]
+        p, q = forest(x, y)
+        out = [(p, q, np.zeros(len(p)), np.zeros(len(p), np.int64))]
+        for own, weights in ((one, linked @ members[two]), *([(two, linked.T @ members[one])] if cross else [])):
+            some = weights > 0
+            out.append((node[own][some], node[own][some], np.zeros(some.sum()), weights[some].astype(np.int64)))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_runs(batches, ("group", "a", "b"), 256):
+            keys = [rows.column(c).to_numpy() for c in ("group", "a", "b")]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            found: list[tuple] = []
+            for i, j in zip([0, *change], [*change, rows.num_rows], strict=True):
+                if j - i > 1:
+                    found += compared(rows.slice(i, j - i))
+            if found:
+                arrays = [np.concatenate([f[k] for f in found]) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in arrays], names=["x", "y", "jaccard", "others"])
+
+    return run
+
+
+def verified(
+    docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, n: int = N, all_pairs: bool = False, block: int = EXACT_BLOCK, scratch: Scratch | None = None
+) -> DataFrame:
+    """(x, y, jaccard, others): links between the members of each group by their exact sets.
+
+    By default rows with x < y are a spanning forest of the links, and rows with x = y say how many documents
+    (``others``) node x is linked to. With ``all_pairs`` every link is a row.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "sets")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches):
             h, first = shingles(TextBlock(batch.column("text")), n)
+            k1, k2 = _set_keys(h, first)
             rows = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(rows, pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(k1), pa.array(k2), pa.array(rows, pa.binary())], names=["node", "k1", "k2", "set"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.col("text").cast("string"))
-    found = texts.join(wanted.hint("shuffle_hash"), "node", "left_semi").mapInArrow(sets, "node long, set binary")
-    found = scratch.written(found)
-    both = pairs.join(found.select(F.col("node").alias("x"), F.col("set").alias("set_x")), "x").join(
-        found.select(F.col("node").alias("y"), F.col("set").alias("set_y")), "y"
+    found = texts.join(groups.select("node").hint("shuffle_hash"), "node", "left_semi").mapInArrow(sets, "node long, k1 long, k2 long, set binary")
+    found = scratch.written(found.dropDuplicates(["node", "k1", "k2"]))
+    place = Window.partitionBy("group").orderBy("n", "node")
+    members = nodes.select("node", "k1", "k2", "n", "members").join(groups, "node")
+    members = members.withColumn("size", F.count("*").over(Window.partitionBy("group"))).withColumn("block", ((F.row_number().over(place) - 1) / block).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / block).cast("int")))
+    dealt = members.withColumn("other", other).select(
+        "group", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "k1", "k2", "n", "members"
     )
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for i, (a, b) in enumerate(zip(batch.column("set_x"), batch.column("set_y"), strict=True)):
-                p, q = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                out[i] = common / max(1, len(p) + len(q) - common)
-            keep = np.flatnonzero(out >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("x").take(pa.array(keep)), batch.column("y").take(pa.array(keep)), pa.array(out[keep])], names=["x", "y", "jaccard"])
-
-    links = both.select("x", "y", "set_x", "set_y").mapInArrow(measure, "x long, y long, jaccard double")
-    return links.groupBy("x", "y").agg(F.max("jaccard").alias("jaccard"))
+    dealt = dealt.join(found, ["node", "k1", "k2"]).select("group", "a", "b", "block", "node", "n", "members", "set")
+    dealt = dealt.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b")
+    return dealt.mapInArrow(_exact(threshold, all_pairs), "x long, y long, jaccard double, others long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -268,13 +355,20 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target_recall: float = TARGET_RECALL, scratch: Scratch | None = None
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    target_recall: float = TARGET_RECALL,
+    all_pairs: bool = False,
+    scratch: Scratch | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
     classes has a row for every row of docs: doc_id, node (smallest id with an equal set), class_id (smallest id of
     the connected group), n_copies (other documents with an equal set) and n_links (other documents that reach the
-    threshold, copies included). links: (x, y, jaccard) between nodes, x < y.
+    threshold, copies included). links: (x, y) between nodes, x < y, which connect each class; with ``all_pairs`` all
+    links, with their ``jaccard``, as many as a group has pairs.
 
     Texts without words (null, empty, white space) have the empty set: they are copies of each other and linked to
     nothing else. A null id is one more id. An id names one document: rows that share it, repeated rows among them,
@@ -287,12 +381,13 @@ def near_duplicates(
         F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("mh").alias("mh")
     )
     nodes = scratch.written(by_set)
-    pairs = scratch.written(candidates(nodes, trees, depth, threshold))
-    links = scratch.written(verified(docs, pairs, threshold, scratch=scratch))
+    candidate_groups = components(candidates(nodes, trees, depth, threshold), scratch)
+    found = scratch.written(verified(docs, nodes, candidate_groups, threshold, scratch=scratch))
+    links = found.filter("x < y").select("x", "y")
+    linked = found.filter("x = y").groupBy(F.col("x").alias("node")).agg(F.sum("others").alias("others"))
     groups = components(links, scratch)
-    ends = links.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("to")))
-    size = nodes.groupBy(F.col("node").alias("to")).agg(F.sum("members").alias("size"))
-    linked = ends.join(size, "to").groupBy("node").agg(F.sum("size").alias("others"))
+    if all_pairs:
+        links = verified(docs, nodes, candidate_groups, threshold, all_pairs=True, scratch=scratch).select("x", "y", "jaccard")
     known = nodes.select("k1", "k2", "node", "members").join(groups, "node", "left").join(linked, "node", "left")
     whole = rows.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2"], "left")
     own = F.col("doc_id")
