@@ -83,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.LINE_DIGEST_SQL, "op9_decontamination": decontaminate.SCAN_SQL}
+    return {"op2_url_filter": url_filter.URL_FILTER_SQL, "op4_line_dedup": line_dedup.LINE_DIGEST_SQL, "op9_decontamination": decontaminate.SCAN_SQL}

@@ -128,4 +128,66 @@ def url_verdicts(
     of_looks = templates.select("host", "looks", "template").join(pure, ["host", "template"])
     found = pages.join(of_looks, ["host", "looks"], "left")
     by_tree = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_tree).alias("verdict"), "template", "purity")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_tree).alias("verdict"), "template", F.round("purity", 6).alias("purity"))
+
+
+#: DuckDB. The fixed rules, labels by the number that ends a path, and the default parameters.
+URL_FILTER_SQL = (
+    r"""
+WITH cut AS (
+    SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages
+), pages_ AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM cut
+), ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+        WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+        WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule,
+        array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+            lambda s: CASE WHEN regexp_matches(s, '"""
+    + VARIABLE
+    + r"""') THEN '*' ELSE s END), '/') AS looks
+    FROM pages_
+), judged_by_rule AS (
+    SELECT *, CASE WHEN rule IN ('com/fr/', 'org/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule,
+        TRY_CAST(regexp_extract(path, '([0-9]+)(?:[.][a-z]+)?/?$', 1) AS BIGINT) AS doc_id FROM ruled
+), known AS (
+    SELECT j.*, CASE WHEN by_rule IS NOT NULL THEN CAST(by_rule = 'allow' AS BIGINT) ELSE q.good END AS good
+    FROM judged_by_rule j LEFT JOIN (SELECT doc_id, min(quality) AS good FROM labels GROUP BY doc_id) q USING (doc_id)
+), leaves AS (
+    SELECT host, looks, count(*) AS n, count(good) AS labelled, coalesce(sum(good), 0) AS good FROM known GROUP BY host, looks
+), split AS (
+    SELECT *, string_split(looks, '/') AS parts FROM leaves
+), steps AS (
+    SELECT host, looks, n, labelled, good, level, parts[level] AS segment, array_to_string(parts[1 : level - 1], '/') AS above
+    FROM (SELECT *, unnest(generate_series(1, len(parts))) AS level FROM split)
+), branches AS (
+    SELECT host, level, above, segment, sum(n) AS n, sum(labelled) AS labelled, sum(good) AS good FROM steps GROUP BY ALL
+), parents AS (
+    SELECT host, level, above, count(*) AS branches, sum(labelled) AS all_labelled, sum(good) AS all_good FROM branches GROUP BY ALL
+), shares AS (
+    SELECT *, all_labelled - labelled AS others, (good + 0.5::DOUBLE) / (labelled + 1) AS own, (all_good - good + 0.5::DOUBLE) / (all_labelled - labelled + 1) AS rest
+    FROM branches JOIN parents USING (host, level, above)
+), merged AS (
+    SELECT host, level, above, segment, CASE WHEN branches > 1 AND (n < 5 OR abs(own - rest) <= 2.0::DOUBLE * sqrt(own * (1 - own) / (labelled + 1) + rest * (1 - rest) / (others + 1)))
+        THEN '*' ELSE segment END AS target FROM shares
+), templates AS (
+    SELECT host, looks, any_value(s.labelled) AS labelled, any_value(s.good) AS good, '/' || string_agg(target, '/' ORDER BY level) AS template
+    FROM steps s JOIN merged USING (host, level, above, segment) GROUP BY host, looks
+), sums AS (
+    SELECT host, template, sum(labelled) AS labelled, sum(good) AS good FROM templates GROUP BY host, template
+), hosts AS (
+    SELECT host, sum(labelled) AS h_labelled, sum(good) AS h_good FROM sums GROUP BY host
+), base AS (
+    SELECT (coalesce(sum(h_good), 0) + 2.0::DOUBLE) / (coalesce(sum(h_labelled), 0) + 4) AS base FROM hosts
+), pure AS (
+    SELECT host, template, h_labelled, (good + 4 * (h_good + 4 * base) / (h_labelled + 4)) / (labelled + 4) AS purity FROM sums JOIN hosts USING (host), base
+)
+SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.by_rule, CASE WHEN p.purity < 0.5 AND p.h_labelled > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+    p.template, round(p.purity, 6) AS purity
+FROM known k JOIN templates t USING (host, looks) JOIN pure p ON p.host = t.host AND p.template = t.template
+"""
+)
