@@ -89,8 +89,10 @@ def plan(counts: dict[int, int], length: int = LENGTH) -> tuple[dict[int, list[t
         while left:
             k = bisect_left(gaps, size)
             if k == len(gaps):
-                put(length, opened, opened + left) if size <= length else None
-                opened += left
+                # As many as the pieces fill when each takes all that fit; the sweep comes back to their gaps.
+                more = -(-left // (length // size))
+                put(length, opened, opened + more)
+                opened += more
                 continue
             gap = gaps[k]
             a, b = runs[gap].pop(0)
