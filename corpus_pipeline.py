@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodemill.llm import decontaminate, line_dedup, near_dup, packing, quality_net
-from lodemill.llm._base import Scratch, table
+from lodemill.llm._base import Scratch, importable, table
 from lodemill.llm.queries import vocabulary
 
 
@@ -24,6 +24,7 @@ def first_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: one document of each group of near duplicates stays."""
+    importable(spark)
     return near_dup.keep_one_of_each(docs)
 
 
@@ -34,6 +35,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: the token pieces of what is left, with their places in sequences."""
+    importable(spark)
     return packing.pack(docs, vocabulary())
 
 
