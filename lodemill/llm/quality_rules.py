@@ -1,11 +1,13 @@
 """Quality rules: counts of a text, and a log-likelihood ratio between trusted texts and the raw corpus.
 
-Words and pairs of neighbouring words are hashed into a fixed number of buckets. Bucket counts over all documents
-(raw) and over trusted documents (target) give two smoothed multinomials. A document's score is the mean over its
-words and pairs of log(target / raw), so length does not matter; its own counts are left out of raw. Every document at or above a fixed threshold passes.
-
-Raw counts run over every document: each task adds up its own buckets, Spark sums them. What is broadcast has one
-value for each bucket, whatever the input, and the ids of at most ``max_trusted`` trusted documents.
+Words and pairs of neighbouring words are grams, named by a 64-bit hash. Their counts over all documents (raw) and
+over all trusted documents (target) give two smoothed multinomials. A document's score is the mean over its grams of
+log(target / raw), so length does not matter; its own counts are left out of raw. Every document at or above a fixed
+threshold passes.
+
+Counts are a Spark table with a row for each distinct gram, however many there are. The most frequent grams, at most
+``heavy``, are broadcast; a document's other grams are joined with the table and their log ratios summed up per
+document. So no key of that join has many rows, and nothing on the driver or in a task grows with the input.
 """
 
 from __future__ import annotations
@@ -17,73 +19,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm._base import byte_slices
+from lodemill.llm._base import Scratch, byte_slices
 from lodemill.llm.textblock import NOT_SPACE, TextBlock, covered, mix, per_text, windows
 
 #: The characters that count as symbols.
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
-BUCKETS = 1 << 18
-MAX_TRUSTED = 20_000
 THRESHOLD = -0.25
-
-
-def _grams(block: TextBlock, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every word and every pair of words."""
+#: Trusted ids that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+#: Grams whose counts are broadcast; counts of all others are joined.
+HEAVY = 1 << 20
+#: Distinct grams that a counting task adds up before it hands them on.
+HELD = 1 << 21
+#: Counts of this size and above are one class when the heavy grams are chosen.
+TOP = 1 << 16
+
+
+def _grams(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, text) of every word and every pair of words."""
     words = block.words(NOT_SPACE)
     single = block.hashes(words.starts, words.ends)
     double, at = windows(single, words, 2)
-    return (np.concatenate([single, double]) % np.uint64(buckets)).astype(np.int64), np.concatenate([words.text, words.text[at]])
+    return np.concatenate([single, double]), np.concatenate([words.text, words.text[at]])
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
-    """(bucket, raw, target): counts over all docs, and over the trusted among them.
+def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    gram, raw, target = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
+    if not len(first):
+        return gram, raw, target
+    return gram[first], np.add.reduceat(raw[order], first), np.add.reduceat(target[order], first)
 
-    ``trusted`` has doc_id; of more than ``max_trusted`` ids those with the smallest hashes are taken.
-    """
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    flagged = docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("is_target", F.lit(True))), "doc_id", "left")
+
+def gram_counts(docs: DataFrame, trusted: DataFrame, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """(gram, raw, target): counts over all docs, and over all the trusted among them. ``trusted`` has doc_id."""
+    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    rows = docs.select("doc_id", "text")
+    if ids.count() <= max_broadcast_ids:
+        flagged = rows.join(F.broadcast(ids), "doc_id", "left")
+    else:
+        # Null ids are not trusted and stay out of the shuffle, where they would be one key.
+        flagged = rows.filter("doc_id is not null").join(ids.hint("merge"), "doc_id", "left")
+        flagged = flagged.unionByName(rows.filter("doc_id is null").withColumn("is_target", F.lit(False)))
+
+    def rows_of(part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2])], names=["gram", "raw", "target"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        held, size = [], 0
         for batch in byte_slices(batches):
-            bucket, text = _grams(TextBlock(batch.column("text")), buckets)
-            raw += np.bincount(bucket, minlength=buckets)
+            gram, text = _grams(TextBlock(batch.column("text")))
             chosen = batch.column("is_target").fill_null(False).to_numpy(zero_copy_only=False)
-            target += np.bincount(bucket[chosen[text]], minlength=buckets)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
+            held.append(_summed([(gram, np.ones(len(gram), np.int64), chosen[text].astype(np.int64))]))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield rows_of(held[0])
+                    held, size = [], 0
+        if held:
+            yield rows_of(_summed(held))
 
-    part = flagged.select("text", "is_target").mapInArrow(count, "bucket long, raw long, target long")
-    return part.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    part = flagged.select("text", "is_target").mapInArrow(count, "gram long, raw long, target long")
+    return part.groupBy("gram").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 class Multinomials:
-    """Bucket counts of the raw corpus and of the trusted texts; at most ``buckets`` rows come to the driver."""
-
-    def __init__(self, counts: DataFrame, buckets: int = BUCKETS, smoothing: float = 1.0):
-        rows = counts.toArrow()
-        raw, self.target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        at = rows.column("bucket").to_numpy()
-        raw[at], self.target[at] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
-        self.raw, self.smoothing, self.buckets = raw, smoothing, buckets
-        self.n_raw, self.n_target = int(raw.sum()), int(self.target.sum())
-
-    def score(self, bucket: np.ndarray, text: np.ndarray, n_texts: int) -> np.ndarray:
-        """Mean log ratio of each text. Its own counts don't count as raw, so rare words of a text are neutral.
-
-        Both multinomials get ``smoothing`` expected target counts a bucket: a bucket that neither has seen is
-        worth 0. All scores are 0 without trusted texts.
+    """Totals of both multinomials, the table of all counts, and the counts of the most frequent grams as arrays."""
+
+    def __init__(self, counts: DataFrame, heavy: int = HEAVY, smoothing: float = 1.0):
+        """``counts`` is read several times."""
+        self.smoothing = smoothing
+        sums = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("raw", "target")]).first()
+        self.n_raw, self.n_target = sums["raw"], sums["target"]
+        # The least count such that not more than ``heavy`` grams reach it.
+        classes = counts.groupBy(F.least("raw", F.lit(TOP)).alias("raw")).count().collect()  # at most TOP rows
+        self.least, n = TOP + 1, 0
+        for raw, k in sorted(((r["raw"], r["count"]) for r in classes), reverse=True):
+            if n + k > heavy:
+                break
+            self.least, n = raw, n + k
+        rows = counts.filter(F.col("raw") >= self.least).toArrow() if n else None
+        gram, raw, target = (rows.column(c).to_numpy() if n else np.zeros(0, np.int64) for c in ("gram", "raw", "target"))
+        order = np.argsort(gram.view(np.uint64))
+        self.gram, self.raw, self.target = gram.view(np.uint64)[order], raw[order], target[order]
+        #: Counts of the grams that are not broadcast; None where there are none.
+        self.rare = counts.filter(F.col("raw") < self.least) if n < sum(r["count"] for r in classes) else None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "rare"}
+
+    def split(self, gram: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(grams, summed log ratios of the heavy ones) of each text, and (gram, text, own count) of the others.
+
+        A text's own counts don't count as raw, so rare words of a text are neutral. Both multinomials get
+        ``smoothing`` expected target counts a gram. All ratios are 0 without trusted texts.
         """
-        if not self.n_target or not len(bucket):
-            return np.zeros(n_texts)
-        pair, own = np.unique(text * self.buckets + bucket, return_counts=True)
-        b, t = pair % self.buckets, pair // self.buckets
-        size = np.bincount(t, weights=own, minlength=n_texts)
+        size = np.bincount(text, minlength=n_texts)
+        own_salt = mix(np.arange(n_texts, dtype=np.uint64) + np.uint64(1))
+        _, at, own = np.unique(gram ^ own_salt[text], return_index=True, return_counts=True)
+        gram, text = gram[at], text[at]
+        order = np.argsort(gram)
+        gram, text, own = gram[order], text[order], own[order]
+        k = np.minimum(np.searchsorted(self.gram, gram), max(0, len(self.gram) - 1))
+        known = self.gram[k] == gram if len(self.gram) else np.zeros(len(gram), bool)
+        b, t, n = k[known], text[known], own[known]
+        if not self.n_target:
+            return size, np.zeros(n_texts), (gram[:0], text[:0], own[:0])
         scale = self.n_target / np.maximum(1, self.n_raw - size[t])
-        ratio = np.log((self.target[b] + self.smoothing) / ((self.raw[b] - own) * scale + self.smoothing))
-        return np.bincount(t, weights=own * ratio, minlength=n_texts) / np.maximum(1, size)
+        ratio = np.log((self.target[b] + self.smoothing) / ((self.raw[b] - n) * scale + self.smoothing))
+        return size, np.bincount(t, weights=n * ratio, minlength=n_texts).astype(np.float64), (gram[~known], text[~known], own[~known])
 
 
 def rule_counts(block: TextBlock) -> dict[str, np.ndarray]:
@@ -122,6 +172,25 @@ def rule_counts(block: TextBlock) -> dict[str, np.ndarray]:
     }
 
 
+def _rare_sums(rows: DataFrame, model: Multinomials, shared) -> DataFrame:
+    """(key, ratios, n): summed log ratios and number of the grams of each text that are not broadcast."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches):
+            block = TextBlock(batch.column("text"))
+            size, _, (gram, text, own) = shared.value.split(*_grams(block), block.n)
+            arrays = [pa.array(gram.view(np.int64)), batch.column("key").take(pa.array(text)), pa.array(own.astype(np.int32)), pa.array(size[text].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["gram", "key", "own", "size"])
+
+    asked = rows.select("key", "text").mapInArrow(ask, "gram long, key long, own int, size int")
+    scale = F.lit(float(model.n_target)) / F.greatest(F.lit(1), F.lit(model.n_raw) - F.col("size"))
+    ratio = F.log((F.col("target") + model.smoothing) / ((F.col("raw") - F.col("own")) * scale + model.smoothing))
+    # Every gram of a text is in the table, which was counted over the same rows.
+    joined = asked.join(model.rare.hint("shuffle_hash"), "gram", "left")
+    worth = F.col("own") * F.coalesce(ratio, F.lit(0.0))
+    return joined.groupBy("key").agg(F.sum(worth).alias("ratios"), F.sum("own").alias("n"))
+
+
 def rule_verdicts(docs: DataFrame, model: Multinomials, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the counts, base_failed, score and kept for every row of docs.
 
@@ -129,22 +198,33 @@ def rule_verdicts(docs: DataFrame, model: Multinomials, threshold: float = THRES
     are judged like others; further columns are ignored; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches):
             block = TextBlock(batch.column("text"))
             counts = rule_counts(block)
-            score = shared.value.score(*_grams(block, shared.value.buckets), block.n)
+            size, heavy, (_, text, own) = shared.value.split(*_grams(block), block.n)
             failed = (counts["n_words"] < 10) | (100 * counts["n_repeat_words"] > 20 * counts["n_words"])
-            kept = ~failed & (score >= threshold)
-            arrays = [batch.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in counts.values()], pa.array(failed), pa.array(score), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *counts, "base_failed", "score", "kept"])
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(judge, schema)
-
-
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+            rare = np.bincount(text, weights=own, minlength=block.n).astype(np.int64)
+            arrays = [batch.column("doc_id"), *[pa.array(counts[c].astype(np.int64)) for c in names], pa.array(failed), batch.column("key"), pa.array(size), pa.array(heavy), pa.array(rare)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *names, "base_failed", "key", "size", "heavy", "rare"])
+
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, key long, size long, heavy double, rare long"
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("key"))
+    judged = rows.mapInArrow(judge, schema)
+    if model.rare is not None and model.n_target:
+        # Repeated rows share a key, whose sums hold each of them: a row's share is that of its grams.
+        judged = judged.join(_rare_sums(rows, model, shared), "key", "left")
+        total = F.col("heavy") + F.coalesce(F.col("ratios") * F.col("rare") / F.col("n"), F.lit(0.0))
+    else:
+        total = F.col("heavy")
+    judged = judged.withColumn("score", total / F.greatest(F.lit(1), F.col("size")))
+    return judged.select("doc_id", *names, "base_failed", "score", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, heavy: int = HEAVY, scratch: Scratch | None = None) -> DataFrame:
     """Fit on docs with the documents of ``labels.quality`` = 1 as trusted, then judge every document."""
-    counts = bucket_counts(docs, labels.filter("quality = 1"), buckets)
-    return rule_verdicts(docs, Multinomials(counts, buckets), threshold)
+    scratch = scratch or Scratch(docs.sparkSession, "grams")
+    counts = scratch.written(gram_counts(docs, labels.filter("quality = 1")))
+    return rule_verdicts(docs, Multinomials(counts, heavy), threshold)
