@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodemill.llm._base import Scratch, byte_slices, text_or_empty
 from lodemill.llm.ranking import ranked
-from lodemill.llm.tokens import encode_column
+from lodemill.llm.tokens import added_tokens, encode_column
 
 LENGTH = 2048
 #: Appended to the ids of every document.
@@ -35,12 +35,16 @@ BLOCK_ROWS = 20_000
 
 
 def pieces(docs: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, row, piece, start, length and ids_crc32 of every piece of every row of docs. Null texts are empty."""
+    """doc_id, row, piece, start, length and ids_crc32 of every piece of every row of docs. Null texts are empty.
+
+    Added tokens of the JSON beside the ranks that stand in a text become their ids.
+    """
+    added = added_tokens(ranks_path.removesuffix(".tiktoken") + ".json")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, limit=SLICE_BYTES):
             at, piece, start, size, crc = [], [], [], [], []
-            flat, offsets = encode_column(batch.column("text"), ranks_path)
+            flat, offsets = encode_column(batch.column("text"), ranks_path, added)
             for i in range(batch.num_rows):
                 ids = np.append(flat[offsets[i] : offsets[i + 1]], np.uint32(END)).astype("<u4")
                 begin, end, k = 0, len(ids) % length or length, 0

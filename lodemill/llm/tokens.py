@@ -2,17 +2,20 @@
 
 A space between two characters that are surely not white space always begins a new unit of the split pattern, and
 merges never cross units. So a text is cut there into chunks, each distinct chunk of a block is encoded once, and the
-ids of all texts are gathered from those. The ids equal those of encoding each text as a whole. Strings of special
-tokens are ordinary text.
+ids of all texts are gathered from those. The ids equal those of encoding each text as a whole. Strings of the added
+tokens that a caller names become their ids, as in the vocabulary's JSON; without such names they are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from lodemill.llm.textblock import TextBlock
 
@@ -49,8 +52,43 @@ def _cuts(block: TextBlock) -> np.ndarray:
     return at[(at > block.at[text]) & (at + 1 < block.at[text + 1])]
 
 
-def encode_column(column: pa.Array, ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts one after another, offsets of the texts in them). Null and empty texts have no ids."""
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Content and id of the added tokens of a tokenizers JSON. They are matched as they stand, anywhere in a text."""
+    with open(json_path, "rb") as f:
+        found = json.load(f)["added_tokens"]
+    for token in found:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token {token['content']!r} is not matched as it stands")
+    return {token["content"]: token["id"] for token in found}
+
+
+def _encode_around(column: pa.Array, ranks_path: str, added: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Like encode_column, with the texts cut at added tokens (of two that begin at one place, at the longer)."""
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts: list[str] = []
+    token: list[int] = []  # the id of a part that is an added token, else -1
+    stops: list[int] = []  # parts up to the end of each text
+    for text in column.to_pylist():
+        for k, part in enumerate(split.split(text or "")):
+            parts.append("" if k % 2 else part)
+            token.append(added[part] if k % 2 else -1)
+        stops.append(len(parts))
+    flat, at = encode_column(pa.array(parts, pa.large_string()), ranks_path)
+    ids = np.array(token, np.int64)
+    is_added = ids >= 0
+    # Added tokens go in where their (empty) part stands.
+    whole = np.insert(flat, at[:-1][is_added], ids[is_added].astype(np.uint32))
+    shifted = at + np.append(0, np.cumsum(is_added))
+    return whole, shifted[np.append(0, stops).astype(np.int64)]
+
+
+def encode_column(column: pa.Array, ranks_path: str, added: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts one after another, offsets of the texts in them). Null and empty texts have no ids.
+
+    Strings in ``added`` become the ids that it has for them.
+    """
+    if added and any(pc.any(pc.match_substring(column, content)).as_py() for content in added):
+        return _encode_around(column, ranks_path, added)
     encoding, size = _encoding(ranks_path)
     block = TextBlock(column)
     cuts = _cuts(block)

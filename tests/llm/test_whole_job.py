@@ -2,10 +2,13 @@
 
 import collections
 import math
+import zlib
 
+import numpy as np
 import pytest
 
-from lodemill.llm import quality_rules
+from lodemill.llm import packing, quality_rules
+from lodemill.llm.queries import vocabulary
 
 
 def _grams(text):
@@ -46,3 +49,17 @@ def test_quality_rules_scores_with_joined_counts(spark, heavy):
         want.append((-1 if i is None else i, round(score, 9)))
     out = quality_rules.quality_rules(docs, labels, heavy=heavy).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.score, 9)) for r in out) == sorted(want)
+
+
+def test_packing_encodes_added_tokens_as_the_json_does(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", f"x  {end}", f"é <|endoftext {end}| y it's", "plain words here", "", None, f"{end} word " * 30]
+    out = {r.doc_id: r for r in packing.pieces(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1), vocabulary()).collect()}
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
+        assert (out[i].length, out[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
