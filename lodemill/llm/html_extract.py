@@ -1,7 +1,9 @@
 """Main text of HTML pages by consensus of the pages of a host.
 
-Every page's containers are scored by the text that they hold outside links and boilerplate. The page votes for the
-generalised path (tags with their classes, digits removed) of its best container; Spark adds the votes up per host.
+Every page's containers are scored by the text that they hold outside links and boilerplate. From the best one the page
+goes up to the smallest container around it that holds all blocks which are not mostly links (inside the outermost
+marked article, where there is one). The page votes for the generalised path (tags with their classes, digits removed)
+of that container; Spark adds the votes up per host.
 Then every page is read again and its text is taken from the containers on the host's winning path; a page without
 that path uses its own best container.
 
@@ -41,6 +43,8 @@ MARKS = frozenset(
     "notification outbrain overlay pager pagination popup promo promotion recommended related reply replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar tooltip topbar widget widgets".split()
 )
+#: Marks of replies, which may be longer than the article. Other marks do not hide an element with most of the text.
+REPLIES = frozenset("comment comments commentlist disqus replies reply respond".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: An element closes open ones of these kinds when it begins.
 CLOSES = {
@@ -64,22 +68,32 @@ _NAMES = re.compile(r"[^\s_-]+")
 
 
 class _Node:
-    __slots__ = ("link", "parent", "path", "skip", "tag", "text", "bonus")
+    __slots__ = ("link", "marked", "parent", "path", "prose", "skip", "tag", "text", "bonus")
 
-    def __init__(self, tag: str, parent: _Node | None, path: str, skip: bool, bonus: bool):
-        self.tag, self.parent, self.path, self.skip, self.bonus = tag, parent, path, skip, bonus
-        self.text = self.link = 0
+    def __init__(self, tag: str, parent: _Node | None, path: str, skip: bool, bonus: bool, marked: int = -1):
+        self.tag, self.parent, self.path, self.skip, self.bonus, self.marked = tag, parent, path, skip, bonus, marked
+        self.text = self.link = self.prose = 0
 
 
 class Page:
     """Containers of a page with the text they hold, and its blocks in order: (container, text)."""
 
     def __init__(self, source: str):
-        self.nodes: list[_Node] = []
-        self.blocks: list[tuple[_Node, str]] = []
-        self._parts: list[str] = []
-        self._link = 0
-        self._read(source)
+        self._spared: set[int] = set()
+        while True:
+            self.nodes: list[_Node] = []
+            self.blocks: list[tuple[_Node, str]] = []
+            self._parts: list[str] = []
+            self._link = self._plain = 0
+            #: Text outside links that a class or id hides, by the place of the outermost such element.
+            self._hidden: dict[int, int] = {}
+            self._read(source)
+            # A wrapper around most of the text is not boilerplate, whatever a word of its class says.
+            half = (self._plain + sum(self._hidden.values())) / 2
+            wrappers = {at for at, n in self._hidden.items() if n > half}
+            if not wrappers:
+                break
+            self._spared |= wrappers
 
     def _end_block(self, node: _Node) -> None:
         if self._parts:
@@ -88,9 +102,12 @@ class Page:
             if text:
                 self.blocks.append((node, text))
                 plain = max(0, len(text) - self._link)
+                prose = len(text) if plain > self._link else 0
+                self._plain += plain
                 while node is not None:
                     node.text += plain
                     node.link += self._link
+                    node.prose += prose
                     node = node.parent
         self._link = 0
 
@@ -102,7 +119,10 @@ class Page:
         while True:
             m = scan(source, at)
             text = source[at : m.start() if m else len(source)]
-            if text and not stack[-1][1].skip:
+            if text and stack[-1][1].skip:
+                if not links and (marked := stack[-1][1].marked) >= 0:
+                    self._hidden[marked] = self._hidden.get(marked, 0) + len(text.strip())
+            elif text:
                 text = html.unescape(text)
                 self._parts.append(text)
                 if links:
@@ -138,28 +158,32 @@ class Page:
                 links += 1
             if m[3].rstrip().endswith("/") and tag not in BLOCKS:
                 continue
-            stack.append((tag, self._open(tag, m[3], stack[-1][1])))
+            stack.append((tag, self._open(tag, m[3], stack[-1][1], m.start())))
         self._end_block(stack[-1][1])
 
-    def _open(self, tag: str, attributes: str, above: _Node) -> _Node:
+    def _open(self, tag: str, attributes: str, above: _Node, at: int) -> _Node:
         skip, bonus, classes = above.skip or tag in SKIPPED, tag in ("article", "main"), ()
+        marks: set[str] = set()
         if attributes and _NAMED.search(attributes):
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name == "class":
                     classes = sorted(set(value.split()))
                 if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-                    skip = skip or any(w in MARKS for w in _NAMES.findall(value))
+                    marks |= MARKS.intersection(_NAMES.findall(value))
                 elif name == "role":
                     skip, bonus = skip or value in ROLES, bonus or value == "main"
                 elif name == "itemprop":
                     skip, bonus = skip or value == "comment", bonus or value == "articlebody"
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                     skip = True
+        marked = above.marked
+        if marks and not skip and at not in self._spared:
+            skip, marked = True, -1 if marks & REPLIES else at
         if tag not in CONTAINERS and skip == above.skip:
             return above
         path = f"{above.path}>{tag}" + "".join("." + _DIGITS.sub("*", c) for c in classes)
-        node = _Node(tag, above, path, skip, bonus)
+        node = _Node(tag, above, path, skip, bonus, marked)
         if not skip and tag in CONTAINERS:
             self.nodes.append(node)
         return node
@@ -175,12 +199,20 @@ class Page:
                 return
 
     def best(self) -> _Node | None:
-        """The deepest container with 70 % of the best score; marked articles count half as much again."""
+        """The smallest container with all prose around the deepest one that has 70 % of the best score.
+
+        Marked articles count half as much again, and the outermost marked one around it bounds the search.
+        """
         score = lambda n: (n.text - n.link) * (1.5 if n.bonus else 1.0)
         most = max((score(n) for n in self.nodes), default=0)
         if most <= 0:
             return max(self.nodes, key=lambda n: n.text, default=None)
-        return [n for n in self.nodes if score(n) >= 0.7 * most][-1]
+        chain = [[n for n in self.nodes if score(n) >= 0.7 * most][-1]]
+        while chain[-1].parent is not None:
+            chain.append(chain[-1].parent)
+        chain = [n for n in chain if n.tag in CONTAINERS]
+        last = max((k for k, n in enumerate(chain) if n.bonus), default=len(chain) - 1)
+        return next(n for n in chain if n.prose == chain[last].prose)
 
     def text_of(self, wanted: set[int]) -> str:
         """The blocks inside any of the containers (by id()), in page order."""

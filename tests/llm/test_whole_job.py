@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodemill.llm import packing, quality_rules
+from lodemill.llm import html_extract, packing, quality_rules
 from lodemill.llm.queries import vocabulary
 
 
@@ -63,3 +63,21 @@ def test_packing_encodes_added_tokens_as_the_json_does(spark):
     for i, text in enumerate(texts):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
         assert (out[i].length, out[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+LEAD, BODY = "A lead of some words. " * 3, "The body goes on and on. " * 12
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><nav>menu</nav><div class=content><h1>Title</h1><p>{LEAD}</p><div class=body><p>{BODY}</p></div></div><footer>f</footer></body>",
+        f"<body><div class=content><h1>Title</h1><p>{LEAD}</p><blockquote><p>{BODY}</p></blockquote></div><div class=x><a href=1>one</a> <a href=2>two</a></div></body>",
+        f"<body><div class='page has-sidebar'><h1>Title</h1><p>{LEAD}</p><p>{BODY}</p><div class=sidebar><p>aside</p></div></div></body>",
+        f"<body><div class=no-sidebar><div id=with-header><h1>Title</h1><p>{LEAD}</p><p>{BODY}</p></div></div><div class=comments><p>{BODY * 9}</p></div></body>",
+        f"<body><main><h1>Title</h1><article><p>{LEAD}</p><p>{BODY}</p></article></main><div class=z><p>elsewhere</p></div></body>",
+    ],
+)
+def test_html_extraction_keeps_the_whole_article(spark, page):
+    pages = spark.createDataFrame([(1, "http://a.b/x", page)], "page_id long, url string, html string")
+    assert html_extract.main_text(pages).first().text == "\n".join(["Title", LEAD.strip(), BODY.strip()])
