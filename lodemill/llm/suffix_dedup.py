@@ -12,7 +12,9 @@ How it runs:
    that holds one row. This takes what copies repeat, however many there are. An anchor with one segment is done.
 3. Segments that share an anchor but differ (the ends of a repeat, and near copies) are fetched with their bytes and
    dealt by anchor into shards, whose suffixes are sorted by external induced sorting (``suffix_sort``). Runs of
-   suffixes with a common prefix of ``LENGTH`` bytes are equal strings; all but the first go.
+   suffixes with a common prefix of ``LENGTH`` bytes are equal strings; all but the first go. An anchor with more
+   bytes of segments than one shard (a passage in many surroundings) is dealt once more, by the hash of each of its
+   strings: sorted by hash and place, all but the first of each hash go, in a stream that holds one row.
 4. What goes is merged per document and cut out.
 """
 
@@ -36,6 +38,8 @@ LENGTH = 100
 GRAM = 24
 #: Bytes of segments that a suffix-sorting task aims at.
 SHARD_BYTES = 2 << 20
+#: Anchors dealt by string that are broadcast; more are joined.
+MAX_HOT = 100_000
 NULL_ID = -(1 << 63)
 
 _SEGMENT = "gone boolean, anchor long, seg long, doc long, row int, start int, stop int"
@@ -235,7 +239,54 @@ def _sort_shard(length: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scratch: Scratch | None = None) -> DataFrame:
+def _string_hashes(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches):
+            block = TextBlock(batch.column("text"))
+            sizes = [[(p["start"], p["stop"]) for p in own] for own in batch.column("parts").to_pylist()]
+            text = np.repeat(np.arange(block.n), [len(x) for x in sizes])
+            spans = np.array([x for own in sizes for x in own], np.int64).reshape(-1, 2)
+            n = spans[:, 1] - spans[:, 0] - length + 1
+            which = np.repeat(text, n)
+            start = np.repeat(spans[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at = block.at[which] + start
+            w = pa.array(which)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block.hashes(at, at + length).view(np.int64)), batch.column("doc").take(w), batch.column("row").take(w), pa.array(start.astype(np.int32))],
+                names=["string", "doc", "row", "start"],
+            )
+
+    return run
+
+
+def _later_strings(length: int):
+    """Sorted by string and place: the ranges of all strings but the first of each hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = None  # the first place of the last string: (string, doc, row, start)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            string, *place = (batch.column(c).to_numpy() for c in ("string", "doc", "row", "start"))
+            first = np.ones(n, bool)
+            first[1:] = string[1:] != string[:-1]
+            if lead is not None and string[0] == lead[0]:
+                first[0] = False
+            at = np.maximum.accumulate(np.where(first, np.arange(n), -1))
+            own = [np.where(at >= 0, x[np.maximum(at, 0)], 0 if lead is None else lead[1 + i]) for i, x in enumerate(place)]
+            # Repeated rows are one document, so the first place may come twice.
+            later = np.flatnonzero(~first & ((place[0] != own[0]) | (place[1] != own[1]) | (place[2] != own[2])))
+            if at[-1] >= 0:
+                lead = (string[at[-1]], *(x[at[-1]] for x in place))
+            if len(later):
+                start = place[2][later]
+                yield pa.RecordBatch.from_arrays([pa.array(place[0][later]), pa.array(place[1][later]), pa.array(start), pa.array(start + np.int32(length))], names=["doc", "row", "start", "stop"])
+
+    return run
+
+
+def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scratch: Scratch | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc, row, start, stop): byte ranges that go, for each text (named by id and hash). Ranges may overlap.
 
     Null and empty texts, and texts under ``length`` bytes, lose nothing. A null id is the smallest. Of rows that share
@@ -247,12 +298,27 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, scr
     order = ["anchor", "seg", "doc", "row", "start"]
     settled = scratch.written(segments.repartition("anchor").sortWithinPartitions(*order).mapInArrow(_settle, _SEGMENT))
     open_ = settled.filter("not gone")
+    sums = open_.groupBy("anchor").agg(F.sum(F.col("stop") - F.col("start")).alias("n"))
+    hot = scratch.written(sums.filter(F.col("n") > shard_bytes).select("anchor"))
+    n_hot = hot.count()
+    out = settled.filter("gone").select("doc", "row", "start", "stop")
+    if n_hot:
+        # At most one anchor for each shard of bytes.
+        hot = F.broadcast(hot) if n_hot <= MAX_HOT else hot
+        strings = _with_parts(rows, open_.join(hot, "anchor", "left_semi")).mapInArrow(_string_hashes(length), "string long, doc long, row int, start int")
+        dealt = strings.repartition("string").sortWithinPartitions("string", "doc", "row", "start")
+        out = out.unionByName(dealt.mapInArrow(_later_strings(length), "doc long, row int, start int, stop int"))
+        open_ = open_.join(hot, "anchor", "left_anti")
     total = open_.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("n")).first()["n"]
-    parts = open_.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("parts"))
-    fetched = rows.join(parts.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "text", "parts").mapInArrow(_fetch, "anchor long, doc long, row int, start int, bytes binary")
-    shards = max(8, total // SHARD_BYTES)
+    fetched = _with_parts(rows, open_).mapInArrow(_fetch, "anchor long, doc long, row int, start int, bytes binary")
+    shards = max(8, total // shard_bytes)
     compared = fetched.repartition(int(shards), "anchor").sortWithinPartitions("doc", "row", "start").mapInArrow(_sort_shard(length), "doc long, row int, start int, stop int")
-    return settled.filter("gone").select("doc", "row", "start", "stop").unionByName(compared)
+    return out.unionByName(compared)
+
+
+def _with_parts(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    parts = segments.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "start", "stop")).alias("parts"))
+    return rows.join(parts.hint("shuffle_hash"), ["doc", "row"]).select("doc", "row", "text", "parts")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodemill.llm import html_extract, packing, quality_rules
+from lodemill.llm import html_extract, packing, quality_rules, suffix_dedup
 from lodemill.llm.queries import vocabulary
 
 
@@ -81,3 +81,26 @@ LEAD, BODY = "A lead of some words. " * 3, "The body goes on and on. " * 12
 def test_html_extraction_keeps_the_whole_article(spark, page):
     pages = spark.createDataFrame([(1, "http://a.b/x", page)], "page_id long, url string, html string")
     assert html_extract.main_text(pages).first().text == "\n".join(["Title", LEAD.strip(), BODY.strip()])
+
+
+def test_suffix_dedup_deals_a_hot_anchor_by_string(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    passage, texts = word(90), []
+    for i in range(120):
+        before, after = word(30), word(30)
+        texts.append(before + passage + after)
+        if i % 3 == 0:
+            texts.append(word(20) + before[20:] + passage + after[:5] + word(20))
+    rows = [*enumerate(texts), (0, texts[0]), (900, texts[3] + texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ranges = lambda size: {
+        (r.doc, k) for r in suffix_dedup.repeated_ranges(docs, shard_bytes=size).collect() for k in range(r.start, r.stop)
+    }
+    seen, want = set(), set()
+    for i, t in sorted(set(rows)):
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                want |= {(i, k + j) for j in range(100)}
+            seen.add(t[k : k + 100])
+    assert ranges(2_000) == want and ranges(10**9) == want and len(want) > 4_000
