@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,8 +21,14 @@ from lodemill.operators.filters import filters_to_column
 from lodemill.sources.catalog import MANAGED, Catalog, new_table
 
 RESERVED = tuple(f.name for f in MANAGED)
-#: Folders of a table beyond which a commit merges them.
-MANY_FILES = 64
+#: Folders of a table beyond which a commit merges the small ones, and bytes below which one is small.
+MANY_FILES, SMALL_BYTES = 64, 32 << 20
+#: Bytes of a file that compacting and merging aim at.
+FILE_BYTES = 128 << 20
+#: Seconds that a folder which no manifest names is left for open readers and transactions.
+KEEP_SECONDS = 3600
+#: Marks the rows that a write changes.
+HIT = "__hit"
 
 
 class Database:
@@ -31,6 +37,8 @@ class Database:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
         self.spark, self.catalog = spark, Catalog(spark, root, read_only)
         self.tx: dict | None = None
+        #: The state that the open transaction began with.
+        self.base: dict = {}
         self.spoilt = False
         self.savepoints: list[tuple[str, dict]] = []
 
@@ -47,7 +55,8 @@ class Database:
     # --- state
     @property
     def state(self) -> dict:
-        return self.tx if self.tx is not None else self.catalog.state
+        """The open transaction's, else the last one that any writer published."""
+        return self.tx if self.tx is not None else self.catalog.load()
 
     def meta(self, table: str, state: dict | None = None) -> dict:
         found = (state or self.state)["tables"].get(table)
@@ -75,19 +84,26 @@ class Database:
             self.tx = staged
             return
         with self.catalog.lock():
-            self.catalog.state = self.catalog.load()
-            staged = self.catalog.copy()
+            staged = self.catalog.load()
             yield staged
-            for name, meta in staged["tables"].items():
-                if len(meta["files"]) > MANY_FILES:
-                    meta["files"] = [self.catalog.write(self.catalog.read(meta).coalesce(8), name)]
-            self.catalog.publish(staged)
+            self._publish(staged)
+
+    def _publish(self, staged: dict) -> None:
+        for name, meta in staged["tables"].items():
+            if len(meta["files"]) > MANY_FILES:
+                sizes = {p: self.catalog.folder_bytes(p) for p in meta["files"]}
+                small = [p for p in meta["files"] if sizes[p] < SMALL_BYTES]
+                if len(small) > 1:
+                    rows = self.catalog.read(meta | {"files": small}).coalesce(_files(sum(sizes[p] for p in small)))
+                    meta["files"] = [p for p in meta["files"] if p not in small] + [self.catalog.write(rows, name)]
+        self.catalog.publish(staged)
 
     # --- transactions
     def begin(self) -> None:
         if self.tx is not None:
             raise TransactionError("a transaction is open")
-        self.tx, self.spoilt, self.savepoints = self.catalog.copy(), False, []
+        self.base = self.catalog.load()
+        self.tx, self.spoilt, self.savepoints = copy.deepcopy(self.base), False, []
 
     def _open(self) -> dict:
         if self.tx is None:
@@ -95,11 +111,24 @@ class Database:
         return self.tx
 
     def commit(self) -> None:
-        staged = self._open()
+        """What other writers published meanwhile stays. It is refused if they changed a table that the transaction
+        wrote, or one that is tied to such a table by a foreign key; the transaction is still open then."""
+        staged, base = self._open(), self.base
         if self.spoilt:
             raise TransactionError("a statement failed; roll back")
         with self.catalog.lock():
-            self.catalog.publish(staged)
+            now = self.catalog.load()
+            if now["version"] != base["version"]:
+                own = {t for t in staged["tables"] if staged["tables"][t] != base["tables"].get(t)}
+                tied = own | {fk["table"] for t in own for fk in staged["tables"][t]["fks"]} | {t for t, m in now["tables"].items() for fk in m["fks"] if fk["table"] in own}
+                moved = sorted(t for t in tied if now["tables"].get(t) != base["tables"].get(t))
+                if moved:
+                    raise TransactionError(f"another writer changed {', '.join(moved)}; roll back")
+                staged = now | {"tables": now["tables"] | {t: staged["tables"][t] for t in own}}
+            lost = [p for m in staged["tables"].values() for p in m["files"] if not self.catalog.has(p)]
+            if lost:
+                raise TransactionError(f"{lost[0]} is gone; roll back")
+            self._publish(staged)
         self.tx, self.savepoints = None, []
 
     def rollback(self) -> None:
@@ -254,7 +283,8 @@ class Database:
         with self.change(schema=True) as state:
             meta = self.meta(table, state)
             self._need(meta, column)
-            meta["columns"].setdefault(column, {})["default"] = value
+            kind = T.StructType.fromJson(meta["schema"])[column].dataType
+            meta["columns"].setdefault(column, {})["default"] = self._fit(value, kind, column)
 
     def drop_default(self, table: str, column: str) -> None:
         with self.change(schema=True) as state:
@@ -371,7 +401,7 @@ class Database:
             meta["files"] = [*meta["files"], self.catalog.write(new.coalesce(1) if n < 100_000 else new, table)]
             meta["next_id"] += n
 
-    def insert_frame(self, state: dict, table: str, rows: DataFrame, columns: list[str]) -> tuple[int, int]:
+    def insert_frame(self, state: dict, table: str, rows: DataFrame, columns: list[str], check_fk: bool = True) -> tuple[int, int]:
         """Rows of a DataFrame, matched to columns by position; (first id, number of rows).
 
         Ids follow the order of the rows: each task numbers its own, and the sizes of the tasks before are added.
@@ -385,61 +415,97 @@ class Database:
             if f.name not in schema.names and f.name not in RESERVED:
                 schema = schema.add(f.name, f.dataType)
         meta["schema"] = schema.jsonValue()
-        staged = self.catalog.write(named.withColumn("_n", F.monotonically_increasing_id()), table)
-        named = self.spark.read.parquet(f"{self.catalog.root}/{staged}")
-        part = F.shiftright("_n", 33)
-        sizes = sorted((r["p"], r["count"]) for r in named.groupBy(part.alias("p")).count().collect())  # a row for each task
-        at, offsets = meta["next_id"], {}
+        staged = self.catalog.write(named.withColumn("__n", F.monotonically_increasing_id()), table)
+        named = self.spark.read.parquet(self.catalog.path(staged)).withColumn("__p", F.shiftright("__n", 33))
+        sizes = sorted((r["__p"], r["count"]) for r in named.groupBy("__p").count().collect())  # a row for each task
+        first = at = meta["next_id"]
+        offsets = []
         for p, n in sizes:
-            offsets[p] = at
+            offsets.append((p, at))
             at += n
-        total = at - meta["next_id"]
-        first = meta["next_id"]
         now = F.lit(int(time.time())).cast("long")
-        offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in offsets.items() for x in kv]), part.cast("long")) if offsets else F.lit(0)
         defaults = {c: a["default"] for c, a in meta["columns"].items() if "default" in a}
         fields = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in columns else F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]
-        new = named.select((offset + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), now.alias("created_at"), now.alias("updated_at"), *fields)
-        self._append(state, table, new, total)
-        return first, total
-
-    def _where(self, df: DataFrame, filters: list[str] | Column | None) -> Column:
-        if filters is None:
-            return F.lit(True)
-        return filters if isinstance(filters, Column) else filters_to_column(df.schema, list(filters))
+        if len(offsets) == 1:
+            placed = named.withColumn("__at", F.lit(first))
+        else:
+            placed = named.join(F.broadcast(self.spark.createDataFrame(offsets, "__p long, __at long")), "__p")
+        new = placed.select((F.col("__at") + F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"), now.alias("created_at"), now.alias("updated_at"), *fields)
+        self._append(state, table, new, at - first, check_fk)
+        self.catalog.remove(staged)  # nothing reads it any more
+        return first, at - first
+
+    def _marked(self, rows: DataFrame, filters: list[str] | Column | DataFrame | None) -> DataFrame:
+        """rows with HIT. filters: filter strings, a condition, a DataFrame of ids, or None for all rows."""
+        if isinstance(filters, DataFrame):
+            ids = filters.select("id").distinct().withColumn(HIT, F.lit(True))
+            return rows.join(ids, "id", "left").withColumn(HIT, F.coalesce(HIT, F.lit(False)))
+        hit = F.lit(True) if filters is None else filters if isinstance(filters, Column) else filters_to_column(rows.schema, list(filters))
+        return rows.withColumn(HIT, F.coalesce(hit, F.lit(False)))
 
-    def update_rows(self, state: dict, table: str, filters: list[str] | Column | DataFrame | None, values: dict) -> DataFrame:
-        """The rows as they are after the update. filters may be a DataFrame of ids."""
+    def _touched(self, state: dict, table: str, filters: list[str] | Column | DataFrame | None) -> tuple[list[str], DataFrame]:
+        """(folders without a hit, marked rows of the others). A write leaves the former as they are."""
+        meta = self.meta(table, state)
+        if len(meta["files"]) < 2 or isinstance(filters, DataFrame) or filters is None:
+            return [], self._marked(self.catalog.read(meta).alias(table), filters)
+        hits = self._marked(self.catalog.read(meta).alias(table), filters).filter(HIT)
+        folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+        held = {r[0] for r in hits.select(folder).distinct().collect()}  # as many as the table has folders
+        idle = [p for p in meta["files"] if p.rsplit("/", 1)[-1] not in held]
+        busy = meta | {"files": [p for p in meta["files"] if p not in idle]}
+        return idle, self._marked(self.catalog.read(busy).alias(table), filters)
+
+    def _count_into(self, rows: DataFrame, table: str) -> tuple[str, int]:
+        """Write rows without HIT; (folder, number of hits)."""
+        seen = Observation()
+        path = self.catalog.write(rows.observe(seen, F.coalesce(F.sum(F.col(HIT).cast("long")), F.lit(0)).alias("n")).drop(HIT), table)
+        return path, seen.get["n"]
+
+    def update_rows(self, state: dict, table: str, filters: list[str] | Column | DataFrame | None, values: dict) -> tuple[DataFrame, int]:
+        """The changed rows as they are after the update, and their number. One pass over the folders that hold them."""
         meta = self.meta(table, state)
-        rows = self.catalog.read(meta)
         for c in values:
             if c in RESERVED:
                 raise InvalidArgument(f"{c} is managed")
             self._need(meta, c)
-        fitted = {c: self._fit(v, rows.schema[c].dataType, c) for c, v in values.items()}
-        hit = self._hit(rows, filters)
-        old = rows.join(hit, "id", "left_semi")
-        now = F.lit(int(time.time())).cast("long")
-        new = old.select(*[F.lit(fitted[f.name]).cast(f.dataType).alias(f.name) if f.name in fitted else now.alias(f.name) if f.name == "updated_at" else F.col(f"`{f.name}`") for f in rows.schema])
-        self._replace(state, table, rows, old, new, set(values))
-        return new
+        idle, marked = self._touched(state, table, filters)
+        kinds = {f.name: f.dataType for f in self.catalog.schema(meta)}
+        fitted = {c: self._fit(v, kinds[c], c) for c, v in values.items()}
+        fitted["updated_at"] = int(time.time())
+
+        def image(name: str) -> Column:
+            c = F.col(f"`{name}`")
+            return (F.when(F.col(HIT), F.lit(fitted[name]).cast(kinds[name])).otherwise(c) if name in fitted else c).alias(name)
+
+        after = marked.select(*map(image, kinds), HIT)
+        new = after.filter(HIT).drop(HIT)
+        if rules.constrained(meta):
+            rest = after.filter(~F.col(HIT)).drop(HIT)
+            others = self.catalog.read(meta | {"files": idle}).unionByName(rest) if idle else rest
+            rules.check_rows(table, meta, new, others)
+        if not meta["files"] or (len(idle) == len(meta["files"])):
+            return new, 0
+        path, n = self._count_into(after, table)
+        if n:
+            meta["files"] = [*idle, path]
+            self._after_change(state, table, marked.filter(HIT).drop(HIT), new, set(values))
+        return new, n
 
-    def _hit(self, rows: DataFrame, filters: list[str] | Column | DataFrame | None) -> DataFrame:
-        if isinstance(filters, DataFrame):
-            return filters.select("id").distinct()
-        return rows.filter(F.coalesce(self._where(rows, filters), F.lit(False))).select("id")
+    def _after_change(self, state: dict, table: str, old: DataFrame, new: DataFrame, changed: set[str]) -> None:
+        """Check the parents of changed rows, and follow foreign keys that refer to them."""
+        rules.check_parents(table, self.meta(table, state), new, lambda t: self.table(t, state), changed)
+        for child, m in list(state["tables"].items()):
+            for fk in m["fks"]:
+                if fk["table"] == table and changed & set(fk["refs"]):
+                    self._follow(state, child, fk, old, new)
 
     def _replace(self, state: dict, table: str, rows: DataFrame, old: DataFrame, new: DataFrame, changed: set[str]) -> None:
-        """Put new in the place of old, check the whole post-image, and follow foreign keys that refer to it."""
+        """Put new in the place of old, row by row, check it, and follow foreign keys that refer to it."""
         meta = self.meta(table, state)
         others = rows.join(old.select("id"), "id", "left_anti")
         rules.check_rows(table, meta, new, others)
         meta["files"] = [self.catalog.write(others.select(*rows.columns).unionByName(new.select(*rows.columns)), table)]
-        rules.check_parents(table, meta, new, lambda t: self.table(t, state))
-        for child, m in list(state["tables"].items()):
-            for fk in m["fks"]:
-                if fk["table"] == table and changed & set(fk["refs"]):
-                    self._follow(state, child, fk, old, new)
+        self._after_change(state, table, old, new, changed)
 
     @staticmethod
     def _match(child: list[str], parent: list[str]) -> Column:
@@ -464,14 +530,21 @@ class Database:
         image = met.select(*[value(f.name).cast(f.dataType).alias(f.name) if f.name in at else F.col(f"c.`{f.name}`") for f in rows.schema])
         self._replace(state, child, rows, met.select("c.*"), image, set(at))
 
-    def delete_rows(self, state: dict, table: str, filters: list[str] | Column | DataFrame | None) -> DataFrame:
-        """The rows as they were before they went."""
+    def delete_rows(self, state: dict, table: str, filters: list[str] | Column | DataFrame | None) -> tuple[DataFrame, int]:
+        """The rows as they were before they went, and their number. One pass over the folders that hold them."""
         meta = self.meta(table, state)
-        rows = self.catalog.read(meta)
-        doomed = rows.join(self._hit(rows, filters), "id", "left_semi")
-        if not rules.any_row(doomed):
-            return doomed
-        meta["files"] = [self.catalog.write(rows.join(doomed.select("id"), "id", "left_anti").select(*rows.columns), table)]
+        idle, marked = self._touched(state, table, filters)
+        doomed = marked.filter(HIT).drop(HIT)
+        if len(idle) == len(meta["files"]):
+            return doomed, 0
+        # Hits are counted where they are dropped.
+        seen = Observation()
+        left = marked.observe(seen, F.coalesce(F.sum(F.col(HIT).cast("long")), F.lit(0)).alias("n")).filter(~F.col(HIT)).drop(HIT)
+        path = self.catalog.write(left, table)
+        n = seen.get["n"]
+        if not n:
+            return doomed, 0
+        meta["files"] = [*idle, path]
         for child, m in list(state["tables"].items()):
             for fk in m["fks"]:
                 if fk["table"] != table:
@@ -487,7 +560,7 @@ class Database:
                 else:
                     image = met.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in fk["columns"] else F.col(f"`{f.name}`") for f in now.schema])
                     self._replace(state, child, now, met, image, set(fk["columns"]))
-        return doomed
+        return doomed, n
 
     # --- document API
     def add(self, table: str, row: dict, validator: Callable[[dict], bool] | None = None) -> int:
@@ -502,18 +575,27 @@ class Database:
             return len(self.insert_rows(state, table, rows, check_fk=False))
 
     def import_pairs(self, table: str, path: str) -> tuple[int, int]:
-        """Lines of key=value text; (imported, bad lines). Values take the types that they look like."""
-        from lodemill.functions.literals import infer_literal
-        from lodemill.sources.textio import read_pairs
+        """Lines of key=value text; (imported, bad lines). A column takes the type that its values look like, text if
+        they look like several; the rows stay a DataFrame."""
+        from lodemill.sources.textio import read_pairs, typed_pairs
 
         pairs, bad = read_pairs(self.spark, path)
-        rows = [{k: infer_literal(v) for k, v in r["pairs"].items()} for r in pairs.toLocalIterator()]
-        return (self.batch_import(table, rows) if rows else 0), bad
+        rows = typed_pairs(pairs)
+        if not rows.columns:
+            return 0, bad
+        with self.change() as state:
+            columns = [c for c in rows.columns if c not in RESERVED]
+            schema = T.StructType.fromJson(self.meta(table, state)["schema"]) if table in state["tables"] else T.StructType()
+            for f in schema:
+                own = type_of(f.dataType)
+                if f.name in columns and own not in (type_of(rows.schema[f.name].dataType), TEXT, FLOAT):
+                    raise TypeMismatch(f"{f.name} takes {own}")
+            return self.insert_frame(state, table, rows.select(*columns), columns, check_fk=False)[1], bad
 
     def find(self, table: str, filters: list[str] = (), order_by: str | None = None, ascending: bool = True, limit: int = 0, offset: int = 0) -> DataFrame:
         """A limit of 0 is none."""
         df = self.table(table)
-        df = df.filter(self._where(df, list(filters)))
+        df = df.filter(filters_to_column(df.schema, list(filters))) if filters else df
         if order_by is not None:
             c = F.col(f"`{order_by}`")
             df = df.orderBy(c.asc_nulls_first() if ascending else c.desc_nulls_last(), "id")
@@ -533,11 +615,11 @@ class Database:
 
     def update(self, table: str, filters: list[str], values: dict) -> int:
         with self.change() as state:
-            return self.update_rows(state, table, list(filters), values).count()
+            return self.update_rows(state, table, list(filters), values)[1]
 
     def delete(self, table: str, filters: list[str]) -> int:
         with self.change() as state:
-            return self.delete_rows(state, table, list(filters)).count()
+            return self.delete_rows(state, table, list(filters))[1]
 
     def aggregate(self, table: str, stages: list[pipeline.Stage]) -> DataFrame:
         return pipeline.aggregate(self.table(table), stages)
@@ -555,15 +637,22 @@ class Database:
         return search.geo_within_box(self.table(table), lat, lon, low, high)
 
     def stats(self, table: str) -> dict:
+        """``garbage_bytes`` are those of older versions of the table, ``fragmentation`` their share of all its bytes."""
         meta = self.meta(table)
-        return {"bytes": self.catalog.size(meta), "rows": self.table(table).count(), "files": len(meta["files"]), "next_id": meta["next_id"]}
-
-    def compact(self, table: str, files: int = 1) -> None:
-        """Rewrite a table into few files and remove what no manifest names."""
+        live, garbage = sum(map(self.catalog.folder_bytes, meta["files"])), self.catalog.garbage_bytes(table, meta)
+        return {
+            "bytes": live, "rows": self.table(table).count(), "files": len(meta["files"]), "next_id": meta["next_id"],
+            "garbage_bytes": garbage, "fragmentation": garbage / (live + garbage) if live + garbage else 0.0,
+        }
+
+    def compact(self, table: str, keep_seconds: float = KEEP_SECONDS) -> None:
+        """Rewrite a table into files of about FILE_BYTES, and remove what no manifest has named for ``keep_seconds``:
+        open readers and transactions go on with the folders that they know."""
         with self.change(schema=True) as state:
             meta = self.meta(table, state)
-            meta["files"] = [self.catalog.write(self.catalog.read(meta).coalesce(files), table)] if meta["files"] else []
-        self.catalog.collect()
+            size = sum(map(self.catalog.folder_bytes, meta["files"]))
+            meta["files"] = [self.catalog.write(self.catalog.read(meta).coalesce(_files(size)), table)] if meta["files"] else []
+        self.catalog.collect(keep_seconds)
 
     # --- SQL
     def exec_sql(self, text: str, params: list | tuple = ()) -> Any:
@@ -572,6 +661,10 @@ class Database:
         return execute(self, text, params)
 
 
+def _files(n_bytes: int) -> int:
+    return max(1, -(-n_bytes // FILE_BYTES))
+
+
 def open_database(spark: SparkSession, root: str, read_only: bool = False) -> Database:
     return Database(spark, root, read_only)
 

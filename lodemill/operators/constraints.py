@@ -24,6 +24,11 @@ def any_row(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+def constrained(meta: dict) -> bool:
+    """Whether ``check_rows`` looks at any row."""
+    return bool(meta["checks"]) or any(a.get("not_null") or a.get("unique") for a in meta["columns"].values())
+
+
 def check_rows(name: str, meta: dict, rows: DataFrame, others: DataFrame | None = None) -> None:
     """rows: the new or changed rows; others: the rest of the table, for UNIQUE. A null passes UNIQUE and CHECK."""
     for column, about in meta["columns"].items():
@@ -47,9 +52,11 @@ def all_set(columns: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in columns])
 
 
-def check_parents(name: str, meta: dict, rows: DataFrame, read: Callable[[str], DataFrame]) -> None:
-    """Every child key without a null has a parent."""
+def check_parents(name: str, meta: dict, rows: DataFrame, read: Callable[[str], DataFrame], changed: set[str] | None = None) -> None:
+    """Every child key without a null has a parent. Keys without a changed column need no look."""
     for fk in meta["fks"]:
+        if changed is not None and not changed & set(fk["columns"]):
+            continue
         keys = rows.filter(all_set(fk["columns"])).select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(fk["columns"])]).distinct()
         parents = read(fk["table"]).select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(fk["refs"])])
         if fk["table"] == name:  # a row may refer to one of the same statement

@@ -15,7 +15,8 @@ MERGE = 16
 
 
 def fixpoint(spark: SparkSession, cte: str, names: list[str], base: str, step: str, rounds: int = ROUNDS) -> str:
-    """Name of a temporary view with the distinct rows that base and repeated steps give.
+    """Name of a temporary view with the distinct rows that base and repeated steps give. ``cte`` is the name that the
+    step reads under; it must be nobody else's.
 
     Each round runs the step on the rows that the round before found new, keeps what has not been seen, and writes it.
     """

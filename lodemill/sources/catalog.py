@@ -7,11 +7,11 @@ manifest; folders that no manifest names are garbage, which ``collect`` removes.
 
 from __future__ import annotations
 
-import copy
 import fcntl
 import json
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,7 +36,7 @@ class Catalog:
             if read_only:
                 raise NotFound(f"no database in {root}")
             os.makedirs(root)
-        self.state = self.load()
+        self.load()  # it must be readable
 
     @property
     def _path(self) -> str:
@@ -44,15 +44,21 @@ class Catalog:
 
     def load(self) -> dict:
         if not os.path.exists(self._path):
-            return {"format": FORMAT, "tables": {}, "views": {}}
+            return {"format": FORMAT, "version": 0, "tables": {}, "views": {}}
         with open(self._path) as f:
             state = json.load(f)
         if state["format"][0] != FORMAT[0]:
             raise VersionMismatch(f"format {state['format'][0]}; this reads {FORMAT[0]}")
-        return state
+        return {"version": 0} | state
 
-    def copy(self) -> dict:
-        return copy.deepcopy(self.state)
+    def path(self, folder: str) -> str:
+        return os.path.join(self.root, folder)
+
+    def has(self, folder: str) -> bool:
+        return os.path.isdir(self.path(folder))
+
+    def remove(self, folder: str) -> None:
+        shutil.rmtree(self.path(folder))
 
     @contextmanager
     def lock(self) -> Iterator[None]:
@@ -66,14 +72,18 @@ class Catalog:
             yield
 
     def publish(self, state: dict) -> None:
-        """Write beside the manifest, flush to disk, then replace it."""
+        """Write the next version beside the manifest, flush it to disk, replace the manifest, and flush the folder."""
         beside = f"{self._path}.{uuid.uuid4().hex}"
         with open(beside, "w") as f:
-            json.dump(state, f)
+            json.dump(state | {"version": state["version"] + 1}, f)
             f.flush()
             os.fsync(f.fileno())
         os.replace(beside, self._path)
-        self.state = state
+        folder = os.open(self.root, os.O_RDONLY)
+        try:
+            os.fsync(folder)
+        finally:
+            os.close(folder)
 
     @staticmethod
     def schema(meta: dict) -> T.StructType:
@@ -91,19 +101,25 @@ class Catalog:
         df.write.parquet(os.path.join(self.root, path))
         return path
 
-    def collect(self) -> int:
-        """Remove folders that the manifest doesn't name; how many there were."""
-        named = {p for m in self.state["tables"].values() for p in m["files"]}
-        removed = 0
+    def _folders(self) -> Iterator[str]:
         for top, folders, _ in os.walk(os.path.join(self.root, "data")):
             if os.path.relpath(top, self.root).count(os.sep) == 1:
-                for d in folders:
-                    path = os.path.join(os.path.relpath(top, self.root), d)
-                    if path not in named:
-                        shutil.rmtree(os.path.join(self.root, path))
-                        removed += 1
+                yield from (os.path.join(os.path.relpath(top, self.root), d) for d in folders)
                 folders.clear()
-        return removed
 
-    def size(self, meta: dict) -> int:
-        return sum(os.path.getsize(os.path.join(d, f)) for p in meta["files"] for d, _, names in os.walk(os.path.join(self.root, p)) for f in names)
+    def collect(self, keep_seconds: float = 0) -> int:
+        """Remove folders that the manifest doesn't name and nothing was written to for a time; how many there were."""
+        with self.lock():
+            named = {p for m in self.load()["tables"].values() for p in m["files"]}
+            old = [p for p in self._folders() if p not in named and os.path.getmtime(self.path(p)) <= time.time() - keep_seconds]
+            for p in old:
+                self.remove(p)
+        return len(old)
+
+    def folder_bytes(self, folder: str) -> int:
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(self.path(folder)) for f in names)
+
+    def garbage_bytes(self, table: str, meta: dict) -> int:
+        """Bytes of the folders written for a table that it doesn't name any more."""
+        home = os.path.join("data", table)
+        return sum(self.folder_bytes(p) for p in self._folders() if os.path.dirname(p) == home and p not in meta["files"])

@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodemill.functions.literals import _FALSE, _TRUE, BOOL, FLOAT, INT, SPARK_TYPES, TEXT
+
+#: What literals of whole and other numbers look like, as in filter strings.
+INT_LOOK = r"^[+-]?[0-9]+$"
+FLOAT_LOOK = r"^[+-]?(?:[0-9]+\.[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+)$"
+
 
 def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(rows as a map of strings, number of bad lines) of a file with ``a=1 b=2`` in each line.
@@ -23,6 +29,27 @@ def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     return keyed, lines.filter(~good).count()
 
 
+def typed_pairs(pairs: DataFrame) -> DataFrame:
+    """A column for each name, in order; its type is what all its values look like, or text."""
+    entries = pairs.select(F.explode("pairs").alias("k", "v"))
+    look = F.lower("v")
+    null = F.col("v").isNull() | look.isin("", "null", "nil")
+    kinds = entries.groupBy("k").agg(
+        F.bool_and(null | look.isin(*_TRUE, *_FALSE)).alias(BOOL),
+        F.bool_and(null | (F.col("v").rlike(INT_LOOK) & F.col("v").try_cast("long").isNotNull())).alias(INT),
+        F.bool_and(null | F.col("v").rlike(INT_LOOK) | F.col("v").rlike(FLOAT_LOOK)).alias(FLOAT),
+        F.bool_and(null).alias("none"),
+    )
+    columns = []
+    for r in kinds.orderBy("k").collect():  # a row for each column
+        kind = next((t for t in (BOOL, INT, FLOAT) if r[t] and not r["none"]), TEXT)
+        v = F.col("pairs")[r["k"]]
+        none = v.isNull() | F.lower(v).isin("", "null", "nil")
+        value = F.lower(v).isin(*_TRUE) if kind == BOOL else v.cast(SPARK_TYPES[kind])
+        columns.append(F.when(~none, value).alias(r["k"]))
+    return pairs.select(*columns)
+
+
 def _flat(column: Column, kind: T.DataType) -> Column:
     """Nested values as a short note; a null as an empty cell."""
     if isinstance(kind, T.ArrayType):
