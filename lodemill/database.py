@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodemill.errors import AlreadyExists, ConstraintViolation, InvalidArgument, NotFound, TransactionError, TypeMismatch
-from lodemill.functions.literals import BOOL, FLOAT, INT, NUMERIC, SPARK_TYPES, TEXT, type_of
+from lodemill.errors import AlreadyExists, ConstraintViolation, InvalidArgument, NotFound, TransactionError, TypeMismatch, reset_status
+from lodemill.functions.literals import BOOL, FLOAT, INT, NUMERIC, SPARK_TYPES, TEXT, type_of, type_of_value
 from lodemill.operators import constraints as rules
 from lodemill.operators import pipeline, search
 from lodemill.operators.filters import filters_to_column
@@ -372,8 +372,7 @@ class Database:
         for row in rows:
             for name, value in row.items():
                 if name not in schema.names and value is not None:
-                    kind = self.spark.createDataFrame([(value,)], ["v"]).schema["v"].dataType
-                    schema = schema.add(name, kind)
+                    schema = schema.add(name, _kind_of(value))
         return schema
 
     def insert_rows(self, state: dict, table: str, rows: list[dict], check_fk: bool = True) -> list[int]:
@@ -658,9 +657,19 @@ class Database:
     def exec_sql(self, text: str, params: list | tuple = ()) -> Any:
         from lodemill.plans.statements import execute
 
+        reset_status()
         return execute(self, text, params)
 
 
+def _kind_of(value: Any) -> T.DataType:
+    """Type of a Python value; dicts are objects with a field for each key, what is unknown is text."""
+    if isinstance(value, dict):
+        return T.StructType([T.StructField(k, _kind_of(v)) for k, v in value.items()])
+    if isinstance(value, (list, tuple)):
+        return T.ArrayType(_kind_of(next((v for v in value if v is not None), None)))
+    return SPARK_TYPES.get(type_of_value(value), T.StringType())
+
+
 def _files(n_bytes: int) -> int:
     return max(1, -(-n_bytes // FILE_BYTES))
 

@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import threading
+
+
+#: The class of the last error of this thread since its last statement began.
+_last = threading.local()
+
+
+def last_status() -> str:
+    """Name of the error class of this thread's last statement, or OK."""
+    return getattr(_last, "status", "OK")
+
+
+def reset_status() -> None:
+    _last.status = "OK"
+
 
 class LodemillError(Exception):
     """Base of all errors that this package raises by itself."""
 
+    def __init__(self, *args: object):
+        super().__init__(*args)
+        _last.status = type(self).__name__
+
 
 class SyntaxProblem(LodemillError):
     """A statement or filter that can't be read."""

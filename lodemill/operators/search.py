@@ -15,7 +15,6 @@ from lodemill.functions.literals import FLOAT, INT, type_of
 #: Mean radius of the earth in km, longest term.
 EARTH_KM = 6371.0088
 TERM_CHARS = 63
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def terms_of(text: str) -> list[str]:
@@ -23,9 +22,9 @@ def terms_of(text: str) -> list[str]:
     return [w.lower()[:TERM_CHARS] for w in re.findall(r"[A-Za-z0-9]+", text)]
 
 
-def term_columns(column: Column) -> Column:
-    words = F.regexp_extract_all(F.translate(column, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.transform(words, lambda w: F.substring(w, 1, TERM_CHARS))
+def _held(term: str) -> str:
+    """Pattern of a word that counts as the term; of a term of the greatest length, of all words that begin with it."""
+    return rf"(?i)(?<![a-z0-9]){term}" + ("" if len(term) == TERM_CHARS else "(?![a-z0-9])")
 
 
 def text_search(df: DataFrame, query: str, fields: list[str] | None = None, match_all: bool = False, limit: int = 0) -> DataFrame:
@@ -40,14 +39,13 @@ def text_search(df: DataFrame, query: str, fields: list[str] | None = None, matc
         raise InvalidArgument("no text column to search")
     if not terms:
         raise InvalidArgument("the query has no term")
-    words = F.flatten(F.array(*[F.coalesce(term_columns(F.col(f"`{f}`")), F.array().cast("array<string>")) for f in fields]))
-    held = df.withColumn("_words", words)
-    # One pass over a row's words, whatever the number of terms.
-    weights = F.create_map(*[F.lit(x) for t in dict.fromkeys(terms) for x in (t, terms.count(t))])
-    score = F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + F.coalesce(F.try_element_at(weights, w), F.lit(0)))
-    if match_all:
-        held = held.filter(reduce(lambda a, b: a & b, [F.array_contains("_words", t) for t in dict.fromkeys(terms)]))
-    found = held.withColumn("_score", score).filter("_score > 0").drop("_words")
+    columns = [F.col(f"`{f}`") for f in fields]
+    distinct = list(dict.fromkeys(terms))
+    met = [reduce(lambda a, b: a | b, [F.coalesce(c.rlike(_held(t)), F.lit(False)) for c in columns]) for t in distinct]
+    # A row that holds a term scores; so what has none is never counted.
+    found = df.filter(reduce((lambda a, b: a & b) if match_all else (lambda a, b: a | b), met))
+    counts = [F.coalesce(F.regexp_count(c, F.lit(_held(t))), F.lit(0)) * terms.count(t) for t in distinct for c in columns]
+    found = found.withColumn("_score", reduce(lambda a, b: a + b, counts).cast("long"))
     found = found.orderBy(F.desc("_score"), *(["id"] if "id" in df.columns else []))
     return found.limit(limit) if limit else found
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodemill.plans import document_queries, sql_queries
+from lodemill.plans import document_queries, sql_queries, statement_queries
 from lodemill.plans.dialect import run_select
 
 FLAGSHIP = "SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS q, MAX(l_extendedprice) AS p FROM lineitem WHERE l_quantity >= 10 GROUP BY l_returnflag"
@@ -39,10 +39,10 @@ def _dialect(text: str) -> Callable[[SparkSession, str], DataFrame]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {"flagship": _dialect(FLAGSHIP)}
     out |= {name: _dialect(text) for name, (text, _) in sql_queries.QUERIES.items()}
-    return out | {name: run for name, (run, _) in document_queries.QUERIES.items()}
+    return out | {name: run for name, (run, _) in (document_queries.QUERIES | statement_queries.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"flagship": FLAGSHIP}
     out |= {name: sql or text for name, (text, sql) in sql_queries.QUERIES.items()}
-    return out | {name: sql for name, (_, sql) in document_queries.QUERIES.items()}
+    return out | {name: sql for name, (_, sql) in (document_queries.QUERIES | statement_queries.QUERIES).items()}
