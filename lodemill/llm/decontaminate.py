@@ -4,8 +4,10 @@ Words are runs of digits, letters and bytes beyond ASCII, after A-Z is lower-cas
 runs of ``n`` words; an item of fewer words, but not none, is one window of all its words.
 
 Windows go to the executors as a sorted array of 64-bit hashes, for a quick scan, with their words, for an exact
-check of every hit. One set holds at most ``max_windows`` windows. A larger benchmark is dealt into several sets by
-hash; each scans the documents in a pass of its own, and the hits of all passes are joined per document.
+check of every hit. One set holds at most about ``max_windows`` windows. A larger benchmark stays a table, dealt into
+several sets by hash: one set after the other is fetched and broadcast, scans the documents in a pass of its own, whose
+hits are written, and is dropped before the next. So the driver never holds more than one. The hits of all passes are
+joined per document.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemill.llm._base import byte_slices, packed
+from lodemill.llm._base import Scratch, byte_slices, packed
 from lodemill.llm.textblock import ALNUM, TextBlock, covered, per_text, windows
 
 #: Words of a window.
@@ -99,46 +101,53 @@ def _hits(block: TextBlock, sets: WindowSet) -> tuple[np.ndarray, object, dict[i
     return flags, words, items
 
 
-def window_sets(benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> list[WindowSet]:
-    """One set for a benchmark of at most max_windows windows, else as many as keep each about that size."""
-    found = item_windows(benchmark, n).persist()
-    parts = max(1, -(-found.count() // max_windows))
-    part = F.pmod(F.xxhash64("window"), F.lit(parts))
-    sets = [WindowSet.of([tuple(r) for r in found.filter(part == k).toLocalIterator()]) for k in range(parts)]
-    found.unpersist()
-    return sets
+class Pass:
+    """One set of windows on the executors, and the scan with it."""
 
+    def __init__(self, spark: SparkSession, windows: DataFrame):
+        """windows: (item_id, window) rows of one set."""
+        self.shared = spark.sparkContext.broadcast(WindowSet.of([tuple(r) for r in windows.toLocalIterator()]))
 
-def _pass(rows: DataFrame, sets: WindowSet) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(sets)
+    def hits(self, rows: DataFrame) -> DataFrame:
+        shared = self.shared
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches):
-            block = TextBlock(batch.column("text"), lowered=True)
-            flags, words, items = _hits(block, shared.value)
-            hits = [np.flatnonzero(flags[words.first[i] : words.first[i + 1]]) if i in items else () for i in range(block.n)]
-            names = [sorted({shared.value.items[k] or "" for k in items.get(i, ())}) for i in range(block.n)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(words.counts()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
-                names=["doc_id", "row", "n_words", "hits", "items"],
-            )
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in byte_slices(batches):
+                block = TextBlock(batch.column("text"), lowered=True)
+                flags, words, items = _hits(block, shared.value)
+                hits = [np.flatnonzero(flags[words.first[i] : words.first[i + 1]]) if i in items else () for i in range(block.n)]
+                names = [sorted({shared.value.items[k] or "" for k in items.get(i, ())}) for i in range(block.n)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), batch.column("row"), pa.array(words.counts()), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
+                    names=["doc_id", "row", "n_words", "hits", "items"],
+                )
 
-    return rows.mapInArrow(run, "doc_id long, row long, n_words long, hits array<int>, items array<string>")
+        return rows.mapInArrow(run, "doc_id long, row long, n_words long, hits array<int>, items array<string>")
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, max_windows: int = MAX_WINDOWS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, row (hash of the text), n_words, hits (numbers of the hit words) and items (sorted ids) of every row.
 
     Null and empty texts have no words. An empty benchmark hits nothing. A null item id is the empty string. Repeated
-    rows and null document ids are scanned like others; further columns are ignored.
+    rows and null document ids are scanned like others; further columns are ignored; an empty table gives an empty
+    result. A text is scanned whole, in memory of some 50 bytes a byte.
     """
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "windows")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
-    passes = [_pass(rows, s) for s in window_sets(benchmark, n, max_windows)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0].withColumn("first", F.lit(1))
-    for more in passes[1:]:
-        every = every.unionByName(more.filter(F.size("items") > 0).withColumn("first", F.lit(0)))
+    windows = scratch.written(item_windows(benchmark, n))
+    sets = max(1, -(-windows.count() // max_windows))
+    if sets == 1:
+        return Pass(spark, windows).hits(rows)
+    part = F.pmod(F.xxhash64("window"), F.lit(sets))
+    every = None
+    for k in range(sets):
+        one = Pass(spark, windows.filter(part == k))
+        found = one.hits(rows).withColumn("first", F.lit(int(k == 0)))
+        # Every row once, and rows with hits once for each set that hits them.
+        found = scratch.written(found if k == 0 else found.filter(F.size("items") > 0))
+        one.shared.destroy()
+        every = found if every is None else every.unionByName(found)
     merged = every.groupBy("doc_id", "row", "n_words").agg(
         F.sum("first").alias("copies"),
         F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),

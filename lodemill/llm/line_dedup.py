@@ -6,9 +6,9 @@ or more documents hold keeps its lines in the smallest document id alone.
 How it runs:
 
 1. Lines long enough to count become (hash of 128 bits, document, position), written once to the shared folder.
-2. Keys with more than a fixed share of all lines are found by counting hash slots (a table of fixed size) and then
-   only the keys of heavy slots. There are at most 1 / share of them, so they are broadcast, and their lines never
-   meet in one task.
+2. Keys with more than ``heavy_lines`` lines are found by counting hash slots and then only the keys of heavy slots.
+   Their lines never meet in one task: the table of their first documents, at most one key for each ``heavy_lines``
+   lines, is broadcast, or beyond ``MAX_BROADCAST`` keys joined with both sides salted.
 3. All other hashes are range-partitioned with a secondary sort by document and position; a window streams each
    sorted run and marks what comes after the first document.
 4. The marks become a bitmap for each document, in words of 64 lines, of which only words with a dropped line are
@@ -26,8 +26,10 @@ from lodemill.llm._base import Scratch, packed, text_or_empty
 SPACE = "\t\n\x0b\x0c\r "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Hash slots that are counted in order to find heavy keys.
-SLOTS = 4096
+#: Lines of one key that one task may sort, and the share of all lines above which a key is heavy in a small table.
+HEAVY_LINES, HEAVY_SHARE = 100_000, 1 / 512
+#: Heavy keys (some 50 bytes each) that are broadcast, and tasks that share the lines of one beyond that.
+MAX_BROADCAST, SALTS = 500_000, 64
 #: Document id under which rows with a null id are compared: they come first.
 NULL_ID = -(1 << 63)
 
@@ -45,7 +47,7 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(NULL_ID)).alias("_doc"), F.xxhash64(text_or_empty(text)).alias("_row")]
 
 
-def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10, heavy_share: float = 1 / 512, scratch: Scratch | None = None) -> DataFrame:
+def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10, heavy_lines: int = HEAVY_LINES, max_broadcast: int = MAX_BROADCAST, scratch: Scratch | None = None) -> DataFrame:
     """One row for each document row that loses lines: ``_doc``, ``_row``, ``n_dropped`` and ``keep``.
 
     ``keep`` is an array of (word, bits), sorted by word: bit i of word w says whether line 64 * w + i stays. Words
@@ -64,20 +66,29 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 10, heavy_share: float =
             F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"), F.substring(digest, 16, 17).alias("h_more"), "_doc", "_row", "pos"
         )
     )
-    # Above this a key is heavy; at most 1 / heavy_share slots and keys are, whatever the input.
-    limit = max(1000, lines.count() * heavy_share)
-    slot = F.pmod("h", F.lit(SLOTS))
+    # Above this a key is heavy; at most total / limit slots and keys are.
+    total = lines.count()
+    limit = min(heavy_lines, max(1000, int(total * HEAVY_SHARE)))
+    slot = F.pmod("h", F.lit(8 * max(512, total // limit)))
     heavy_slots = lines.groupBy(slot.alias("slot")).count().filter(F.col("count") > limit).select("slot")
     heavy = (
-        lines.join(F.broadcast(heavy_slots), slot == F.col("slot"), "left_semi")
+        lines.join(F.broadcast(heavy_slots) if total // limit <= max_broadcast else heavy_slots, slot == F.col("slot"), "left_semi")
         .groupBy("h", "h_more")
         .agg(F.count("*").alias("n"), F.min("_doc").alias("first_doc"))
         .filter(F.col("n") > limit)
         .select("h", "h_more", "first_doc")
     )
-    heavy = scratch.written(heavy.coalesce(1))
-    of_heavy = lines.join(F.broadcast(heavy), ["h", "h_more"]).filter(F.col("_doc") > F.col("first_doc"))
-    rest = lines.join(F.broadcast(heavy), ["h", "h_more"], "left_anti")
+    heavy = scratch.written(heavy)
+    key = ["h", "h_more"]
+    if heavy.count() <= max_broadcast:
+        small = F.broadcast(heavy)
+    else:
+        # A heavy key's lines are dealt to several tasks, each with the key's first document.
+        key = [*key, "salt"]
+        lines = lines.withColumn("salt", F.pmod(F.xxhash64("_doc", "pos"), F.lit(SALTS)))
+        small = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
+    of_heavy = lines.join(small, key).filter(F.col("_doc") > F.col("first_doc"))
+    rest = lines.join(small, key, "left_anti")
     run = Window.partitionBy("h", "h_more").orderBy("_doc", "pos")
     of_rest = (
         rest.repartitionByRange("h", "h_more")

@@ -5,8 +5,9 @@ bytes, and each filter keeps its maximum; a hidden layer mixes the filters of a
 maximum over all chunks; a logistic unit makes one probability of these. Chunks of a text are scored independently
 and only their running maxima are kept, so a text may be as long as memory holds its bytes.
 
-Learning uses at most ``MAX_TRAIN`` labelled rows (those with the smallest hashes of the id) and at most
-``TRAIN_CHUNKS`` chunks of each, spread evenly over the text. Scoring uses every chunk of every document.
+Learning uses at most ``MAX_TRAIN`` labelled documents (those with the smallest hashes of the id), every chunk of each:
+all chunks are run forward, and only those that hold a maximum are run backward, as no other has a gradient. Scoring
+uses every chunk of every document.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemill.llm._base import byte_slices
+from lodemill.llm._base import byte_slices, packed, text_or_empty
 from lodemill.llm.textblock import TextBlock
 
 CHUNK, STEP = 256, 224
@@ -30,7 +31,6 @@ EMBED, FILTERS, HIDDEN = 6, 24, 16
 PAD = 256
 
 MAX_TRAIN = 5000
-TRAIN_CHUNKS = 24
 EPOCHS = 14
 PREDICT_AT = 0.7
 
@@ -83,34 +83,42 @@ class Net:
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         """x: chunks of several texts; first: where each text's chunks begin; y: labels."""
         p = self.p
-        w = self._windows(x)
-        conv = (w.reshape(-1, w.shape[2]) @ p["filter"]).reshape(w.shape[0], w.shape[1], FILTERS)
-        at = conv.argmax(1)
-        best = np.take_along_axis(conv, at[:, None], 1)[:, 0] + p["filter_0"]
-        f = np.concatenate([np.maximum(best, 0), self._filled(x)], 1)
-        pre = f @ p["hidden"] + p["hidden_0"]
-        h = np.maximum(pre, 0)
-        top = np.maximum.reduceat(h, first)
+        every = self.hidden(x)
+        top = np.maximum.reduceat(every, first)
         text = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
         dz = ((self.probability(top) - y) * weight / len(y)).astype(np.float32)
         g = {"out": top.T @ dz, "out_0": np.array([dz.sum()], np.float32)}
         # Only the chunk with the maximum of a unit learns; ties share.
-        is_top = (h == top[text]) & (h > 0)
-        share = np.maximum.reduceat(np.zeros_like(h), first) + np.add.reduceat(is_top.astype(np.float32), first)
-        dh = np.where(is_top, (dz[:, None] * p["out"])[text] / np.maximum(share[text], 1), 0)
-        g["hidden"], g["hidden_0"] = f.T @ dh, dh.sum(0)
+        is_top = (every == top[text]) & (every > 0)
+        share = np.add.reduceat(is_top.astype(np.float32), first)
+        some = np.flatnonzero(is_top.any(1))
+        x, text = x[some], text[some]
+        dh = np.where(is_top[some], (dz[:, None] * p["out"])[text] / np.maximum(share[text], 1), 0)
+        g |= {k: np.zeros_like(p[k]) for k in ("hidden", "hidden_0", "filter", "filter_0", "embed")}
+        for k in range(0, len(x), 256):
+            self._backward(g, x[k : k + 256], dh[k : k + 256])
+        return g
+
+    def _backward(self, g: dict[str, np.ndarray], x: np.ndarray, dh: np.ndarray) -> None:
+        """Add what chunks give to the gradients, from those of their hidden units."""
+        p, w = self.p, self._windows(x)
+        conv = (w.reshape(-1, w.shape[2]) @ p["filter"]).reshape(w.shape[0], w.shape[1], FILTERS)
+        at = conv.argmax(1)
+        best = np.take_along_axis(conv, at[:, None], 1)[:, 0] + p["filter_0"]
+        f = np.concatenate([np.maximum(best, 0), self._filled(x)], 1)
+        g["hidden"] += f.T @ dh
+        g["hidden_0"] += dh.sum(0)
         df = (dh @ p["hidden"][:FILTERS].T) * (best > 0)
-        g["filter_0"] = df.sum(0)
+        g["filter_0"] += df.sum(0)
         rows = w[np.arange(len(x))[:, None], at]  # (chunks, FILTERS, WIDTH * EMBED)
-        g["filter"] = np.einsum("cf,cfk->kf", df, rows)
+        g["filter"] += np.einsum("cf,cfk->kf", df, rows)
         de = (df[:, :, None] * p["filter"].T[None]).reshape(len(x), FILTERS, WIDTH, EMBED)
         bytes_at = x[np.arange(len(x))[:, None, None], at[:, :, None] * STRIDE + np.arange(WIDTH)]
-        g["embed"] = np.stack([np.bincount(bytes_at.ravel(), de[..., k].ravel(), 257) for k in range(EMBED)], 1).astype(np.float32)
-        return g
+        g["embed"] += np.stack([np.bincount(bytes_at.ravel(), de[..., k].ravel(), 257) for k in range(EMBED)], 1).astype(g["embed"].dtype)
 
 
 def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> Net:
-    """texts: (chunks, CHUNK) byte values of each. Adam on the logistic loss; both labels weigh the same in total."""
+    """texts: the bytes of each. Adam on the logistic loss; both labels weigh the same in total."""
     net, r = Net(), np.random.default_rng(seed)
     if not len(texts):
         return net
@@ -123,8 +131,9 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, see
         order = r.permutation(len(texts))
         for k in range(0, len(order), 32):
             own = order[k : k + 32]
-            x = np.concatenate([texts[i] for i in own])
-            first = np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])[:-1]])
+            chunks = [_chunks(texts[i], chunk_starts(len(texts[i])), len(texts[i])) for i in own]
+            x = np.concatenate(chunks)
+            first = np.concatenate([[0], np.cumsum([len(c) for c in chunks])[:-1]])
             g = net.gradients(x, first, labels[own], weight[own])
             step += 1
             rate = 0.008 * (1 - 0.95 * step / steps)
@@ -146,25 +155,19 @@ def fold(doc_id) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, train_chunks: int = TRAIN_CHUNKS) -> Net:
-    """Learn from labelled rows that are not held out. Rows with a null id or a null label are not learned from."""
-    chosen = labels.filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 2)
-    chosen = chosen.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Net:
+    """Learn from labelled documents that are not held out, whole texts of at most ``max_train``, which the driver holds.
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in byte_slices(batches):
-            block = TextBlock(batch.column("text"))
-            rows = []
-            for i in range(block.n):
-                own = block.data[block.at[i] : block.at[i + 1]]
-                starts = chunk_starts(len(own))
-                starts = starts[np.linspace(0, len(starts) - 1, min(len(starts), train_chunks)).astype(int)]
-                rows.append(_chunks(own, starts, len(own)).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], names=["doc_id", "quality", "chunks"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", "quality", "text").mapInArrow(cut, "doc_id long, quality int, chunks binary").toArrow().sort_by("doc_id")
-    texts = [np.frombuffer(x.as_buffer(), "<i2").reshape(-1, CHUNK) for x in found.column("chunks")]
+    Rows with a null id or a null label are not learned from. Of rows that share an id the least text counts, null as
+    the empty text. Without any labelled document the network is untrained.
+    """
+    chosen = labels.filter("quality is not null and doc_id is not null").filter(fold(F.col("doc_id")) != 2)
+    chosen = chosen.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
+    rows = docs.select(F.col("doc_id").cast("long"), text_or_empty(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = rows.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("text").alias("text")).toArrow().sort_by("doc_id")
+    block = TextBlock(found.column("text"))
+    texts = [block.data[block.at[i] : block.at[i + 1]] for i in range(block.n)]
     return train(texts, found.column("quality").to_numpy().astype(np.float32))
 
 
@@ -211,9 +214,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, predict_at: float = PREDICT_AT) -> DataFrame:
-    """docs without the rows that the network rejects; all columns as they were. Rows without a text are judged too."""
-    from lodemill.llm._base import packed
+    """docs without the rows that the network, fitted on them, rejects; all columns as they were.
 
+    Null and empty texts are judged as one chunk of padding; null ids and repeated rows are judged like others; clashing
+    names of further columns do no harm; an empty table gives an empty result.
+    """
     net = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodemill.llm import html_extract, packing, quality_rules, suffix_dedup
+from lodemill.llm import decontaminate, html_extract, line_dedup, packing, quality_net, quality_rules, suffix_dedup
 from lodemill.llm.queries import vocabulary
 
 
@@ -104,3 +104,80 @@ def test_suffix_dedup_deals_a_hot_anchor_by_string(spark):
                 want |= {(i, k + j) for j in range(100)}
             seen.add(t[k : k + 100])
     assert ranges(2_000) == want and ranges(10**9) == want and len(want) > 4_000
+
+
+@pytest.mark.parametrize("max_broadcast", [1000, 0])
+def test_line_dedup_with_heavy_keys_joined_by_salt(spark, max_broadcast):
+    rows = [(i, f"a very common line\nanother very common one\nown line {i} here") for i in range(2500)]
+    docs = spark.createDataFrame([*rows, (3, rows[3][1])], "doc_id long, text string")
+    out = {(r._doc, r.n_dropped) for r in line_dedup.line_keep_bitmaps(docs, heavy_lines=500, max_broadcast=max_broadcast).collect()}
+    assert out == {(i, 2) for i in range(1, 2500)}
+
+
+def test_decontamination_drops_each_set_before_the_next(spark, monkeypatch):
+    rows = [(i, f"w{i} w{i + 1} w{i + 2} w{i + 3} w{i + 4} w{i + 5} w{i + 6} w{i + 7} w{i + 8} other{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(f"b{i}", " ".join(f"w{k}" for k in range(i, i + 12))) for i in range(0, 60, 5)], "item_id string, text string")
+    held, most = [], []
+    real = decontaminate.Pass.__init__
+
+    def counted(self, *args):
+        held[:] = [x for x in held if x.shared._jbroadcast is not None and x.shared._path is not None]
+        real(self, *args)
+        most.append(sum(len(k[0]) for k in self.shared.value.by_length.values()))
+
+    monkeypatch.setattr(decontaminate.Pass, "__init__", counted)
+    names = ("doc_id", "row", "n_words", "array_sort(hits) AS hits", "items")
+    many = sorted(map(tuple, decontaminate.scan(docs, items, max_windows=10).selectExpr(*names).collect()))
+    assert len(most) > 4 and max(most) < 40
+    assert many == sorted(map(tuple, decontaminate.scan(docs, items).selectExpr(*names).collect()))
+    assert sum(len(r[3]) > 0 for r in many) > 20
+
+
+def test_the_network_learns_from_whole_texts(spark, monkeypatch):
+    rows = [(i, "é" * (i * 3000), i % 2) for i in range(8)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, q int").drop("q"), spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_net, "train", lambda texts, y: seen.append([(bytes(t).decode(), int(k)) for t, k in zip(texts, y, strict=True)]))
+    quality_net.fit(docs.unionAll(docs), labels)
+    assert seen[0] == [(t, q) for i, t, q in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    # The gradient of a text of many chunks is that of all of them.
+    net, rng = quality_net.Net(3), np.random.default_rng(6)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    data = rng.integers(0, 256, 40_000).astype(np.uint8)
+    x = quality_net._chunks(data, quality_net.chunk_starts(len(data)), len(data))
+    g = net.gradients(x, np.array([0]), np.array([1.0]), np.array([1.0]))
+    loss = lambda: -np.log(net.probability(net.hidden(x).max(0, keepdims=True)))[0]
+    for name in ("hidden", "filter", "embed"):
+        k = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        net.p[name][k] += 1e-5
+        high = loss()
+        net.p[name][k] -= 2e-5
+        low = loss()
+        net.p[name][k] += 1e-5
+        assert abs((high - low) / 2e-5 - g[name][k]) < 0.02 * abs(g[name][k]) + 1e-5
+
+
+def test_scores_are_those_of_a_plain_convolution(spark):
+    net = quality_net.Net(9)
+    rng = np.random.default_rng(5)
+    texts = ["", None, "short", "é" * 300, "".join(chr(97 + x) for x in rng.integers(0, 26, 1000)), "ab " * 4000]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in quality_net.scores(docs, net).collect()}
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for i, text in enumerate(texts):
+        raw = list((text or "").encode())
+        top = np.zeros(quality_net.HIDDEN)
+        start = 0
+        while True:
+            chunk = raw[start : start + quality_net.CHUNK]
+            padded = chunk + [quality_net.PAD] * (quality_net.CHUNK - len(chunk))
+            best = np.full(quality_net.FILTERS, -np.inf)
+            for at in range(0, quality_net.CHUNK - quality_net.WIDTH + 1, quality_net.STRIDE):
+                best = np.maximum(best, np.concatenate([p["embed"][b] for b in padded[at : at + quality_net.WIDTH]]) @ p["filter"])
+            units = np.append(np.maximum(best + p["filter_0"], 0), len(chunk) / quality_net.CHUNK) @ p["hidden"] + p["hidden_0"]
+            top = np.maximum(top, units)
+            if start + quality_net.CHUNK >= len(raw):
+                break
+            start += quality_net.STEP
+        assert abs(found[i] - 1 / (1 + math.exp(-(top @ p["out"] + p["out_0"][0])))) < 1e-4
