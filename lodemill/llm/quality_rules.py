@@ -98,13 +98,16 @@ class Names:
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    gram, raw, target = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(gram, kind="stable")
+    """Sorted distinct grams with their counts. ``parts`` is emptied, so that its arrays can go while the rest is made."""
+    gram, raw, target = (np.concatenate(x) if len(parts) > 1 else x[0] for x in zip(*parts, strict=True))
+    parts.clear()
+    order = np.argsort(gram)
     gram = gram[order]
     first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[: len(gram)])
     if not len(first):
         return gram, raw, target
-    return gram[first], np.add.reduceat(raw[order], first), np.add.reduceat(target[order], first)
+    gram = gram[first]
+    return gram, np.add.reduceat(raw[order], first), np.add.reduceat(target[order], first)
 
 
 def _with_trust(docs: DataFrame, trusted: DataFrame, max_broadcast_ids: int) -> DataFrame:
@@ -139,7 +142,7 @@ def packed_counts(flagged: DataFrame, names: Names, least: int = 1) -> DataFrame
         for batch in byte_slices(batches):
             gram, text = names.grams(TextBlock(batch.column("text")))
             chosen = batch.column("is_target").fill_null(False).to_numpy(zero_copy_only=False)
-            held.append(_summed([(gram, np.ones(len(gram), np.int64), chosen[text].astype(np.int64))]))
+            held.append(_summed([(gram, np.ones(len(gram), np.uint32), chosen[text].astype(np.uint32))]))
             size += len(held[-1][0])
             if size > HELD:
                 held = [_summed(held)]
