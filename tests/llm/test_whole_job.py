@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodemill.llm import decontaminate, html_extract, line_dedup, packing, quality_net, quality_rules, suffix_dedup
+from lodemill.llm import decontaminate, html_extract, line_dedup, packing, quality_net, quality_rules, suffix_dedup, url_filter
 from lodemill.llm.queries import vocabulary
 
 
@@ -181,3 +181,27 @@ def test_scores_are_those_of_a_plain_convolution(spark):
                 break
             start += quality_net.STEP
         assert abs(found[i] - 1 / (1 + math.exp(-(top @ p["out"] + p["out_0"][0])))) < 1e-4
+
+
+def test_url_templates_pool_what_stands_below_merged_branches(spark):
+    """Two sections of three pages are few on their own; merged, their children are judged on the sum of both."""
+    urls, labels = [], []
+    for section in ("a", "b"):
+        for kind, good in (("post", 1), ("spam", 0)):
+            for i in range(3):
+                urls.append((len(urls), f"http://h.net/{section}/{kind}/{i}"))
+                labels.append((urls[-1][1], good))
+    urls.append((99, "http://h.net/a/post/x/y/z/deep"))
+    df, known = spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(labels, "url string, good int")
+    out = {r.page_id: (r.template, r.verdict) for r in url_filter.url_verdicts(df, known).collect()}
+    # Below post stands a lone x, so it and the numbers are merged too; a path that shares no template stays as it is.
+    want = {i: ("/(*)/spam/*", "block") if "spam" in u else ("/(*)/post/(*)", "allow") for i, u in urls if i < 99}
+    assert out == want | {99: ("/(*)/post/(*)/y/z/deep", "allow")}
+
+
+def test_url_verdicts_of_a_frequent_path_are_joined_in_shares(spark, monkeypatch):
+    rows = [(i, f"http://h.net/p/{i}" if i % 3 else f"http://g.net/q{i % 7}") for i in range(3000)]
+    df = spark.createDataFrame([*rows, rows[0], (None, None)], "page_id long, url string")
+    whole = sorted(map(str, url_filter.url_verdicts(df).collect()))
+    monkeypatch.setattr(url_filter, "HOT_PAGES", 100)
+    assert sorted(map(str, url_filter.url_verdicts(df).collect())) == whole and len(whole) == 3002
