@@ -1,23 +1,31 @@
 """Best-fit packing of token pieces into sequences of a fixed length, in bulk-synchronous supersteps.
 
-Documents become token ids and are cut into pieces of at most ``length`` tokens. Spark sorts pieces into size classes
-(one for each length, so at most ``length``) and numbers the pieces of each class in two levels. Sequences that have
-the same gap left form gap classes. A superstep takes the largest size class that is left and sweeps the gap classes
-upwards from that size: each gap's successor is the class at hand, classes that compete for the same pieces are
-resolved by rank (tightest gap first, then lowest sequence), gaps are updated, and pieces that no gap holds open new
-sequences. Runs of ranks move together, so a superstep handles counts, whatever the number of documents; the driver
-holds class sizes and rank runs (bounded by the number of classes), never documents. The plan is broadcast, and
-each piece finds its sequence and place from its class and rank.
+Documents become token ids and are cut into pieces of at most ``length`` tokens. Pieces of equal length are alike, and so
+are sequences with equal gaps, so supersteps work on runs: ranks [a, b) of the pieces of one length, and sequences [a, b)
+that have one gap left. Runs lie in a Spark table, range-partitioned by size. In a superstep
+
+1. every range sorts its runs and sweeps its pieces, largest first: the successor of a length is the smallest gap at hand
+   that holds it;
+2. pieces that want the same gap are resolved by rank: the largest first, then those of lower rank, which go to the
+   sequences of lower number; a sequence takes as many pieces of one length as fit;
+3. gaps are updated: what is left of one goes to the range of its new size, and gaps that a range has no use for go down
+   to the next range, for the superstep that follows.
+
+It begins with as many empty sequences as the tokens fill at least. When no gap is left and pieces are, sequences for the
+rest are opened at the top. The driver counts what is left; it sees neither runs nor pieces. There are at most
+``length`` lengths and gaps, so runs are few, whatever the number of documents. Pieces are numbered within their length
+in two levels and find their sequence and place in the table of placed runs, which is broadcast.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +40,21 @@ END = 0
 SLICE_BYTES = 2 << 20
 #: Pieces that one task numbers.
 BLOCK_ROWS = 20_000
+#: Kinds of runs.
+GAP, PIECE, PLACED = 0, 1, 2
+_RUN = "at int, kind int, size int, lo long, n long, sequence long, offset int"
 
 
 def pieces(docs: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, row, piece, start, length and ids_crc32 of every piece of every row of docs. Null texts are empty.
+    """doc_id, piece, start, length and ids_crc32 of every piece of every row of docs, with its number ``nth`` in a
+    ``block``. Null texts are empty.
 
     Added tokens of the JSON beside the ranks that stand in a text become their ids.
     """
     added = added_tokens(ranks_path.removesuffix(".tiktoken") + ".json")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId() << 32, 0
         for batch in byte_slices(batches, limit=SLICE_BYTES):
             at, piece, start, size, crc = [], [], [], [], []
             flat, offsets = encode_column(batch.column("text"), ranks_path, added)
@@ -56,97 +69,187 @@ def pieces(docs: DataFrame, ranks_path: str, length: int = LENGTH) -> DataFrame:
                     crc.append(zlib.crc32(ids[begin:end].tobytes()))
                     begin, end, k = end, end + length, k + 1
             which = pa.array(at, pa.int64())
+            nth = np.arange(n, n + len(at))
+            n += len(at)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(which),
-                    batch.column("row").take(which),
                     pa.array(piece, pa.int32()),
                     *[pa.array(x, pa.int64()) for x in (start, size, crc)],
+                    pa.array(task + nth // BLOCK_ROWS),
+                    pa.array(nth),
                 ],
-                names=["doc_id", "row", "piece", "start", "length", "ids_crc32"],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "block", "nth"],
             )
 
     text = text_or_empty(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("row"), text.alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, block long, nth long")
 
 
-def plan(counts: dict[int, int], length: int = LENGTH) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
-    """Best fit, largest first, on class counts.
+def range_of(size: int, length: int = LENGTH) -> int:
+    """Range of a size: each goes down to half of the one above; 0 has the largest."""
+    return min(LOWEST, (length // size).bit_length() - 1)
 
-    Returns for each size the runs (first rank, first sequence, offset), sorted: the piece of rank r in the run goes
-    to sequence first sequence + (r - first rank) at that offset. And the number of sequences.
+
+#: The lowest range.
+LOWEST = 4
+
+
+def sweep(at: int, runs: Iterable[tuple], length: int = LENGTH) -> list[tuple]:
+    """One range's part of a superstep, on (at, kind, size, lo, n, sequence, offset) rows; such rows come back.
+
+    Gaps that are left go down one range; below the lowest they are closed. Pieces without a gap stay.
     """
-    gaps: list[int] = []  # gap classes in order
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences [a, b) with that gap, in order
-    placed: dict[int, list[tuple[int, int, int]]] = {}
-    opened = 0
+    gaps: list[int] = []  # sizes in order
+    held: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences [a, b), in order
+    out: list[tuple] = []
 
     def put(gap: int, a: int, b: int) -> None:
-        if gap not in runs:
-            runs[gap] = []
-            insort(gaps, gap)
-        insort(runs[gap], (a, b))
-
-    for size in sorted((s for s, n in counts.items() if n), reverse=True):
-        left, rank, out = counts[size], 0, placed.setdefault(size, [])
-        while left:
-            k = bisect_left(gaps, size)
-            if k == len(gaps):
-                # As many as the pieces fill when each takes all that fit; the sweep comes back to their gaps.
-                more = -(-left // (length // size))
-                put(length, opened, opened + more)
-                opened += more
-                continue
+        if gap and a < b:
+            if range_of(gap, length) > at:
+                out.append((range_of(gap, length), GAP, gap, a, b - a, -1, -1))
+                return
+            if gap not in held:
+                held[gap] = []
+                insort(gaps, gap)
+            insort(held[gap], (a, b))
+
+    pieces = []
+    for _, kind, size, lo, n, _, _ in runs:
+        if kind == PIECE:
+            pieces.append((-size, lo, n))
+        else:
+            # A larger gap that came down is used like one of this range.
+            if size not in held:
+                held[size] = []
+                insort(gaps, size)
+            insort(held[size], (lo, lo + n))
+    for size, rank, left in sorted(pieces):
+        size = -size
+        while left and (k := bisect_left(gaps, size)) < len(gaps):
             gap = gaps[k]
-            a, b = runs[gap].pop(0)
-            if not runs[gap]:
-                del runs[gap]
+            a, b = held[gap].pop(0)
+            if not held[gap]:
+                del held[gap]
                 gaps.pop(k)
-            take = min(left, b - a)
-            out.append((rank, a, length - gap))
-            if take < b - a:
-                put(gap, a + take, b)
-            if gap > size:
-                put(gap - size, a, a + take)
-            left -= take
-            rank += take
-    return placed, opened
+            each = gap // size
+            full = min(b - a, left // each)
+            more = left % each if full < b - a and left // each == full else 0
+            # Layer by layer: the j-th piece of every sequence.
+            for j in range(each):
+                n = full + (j < more)
+                if n:
+                    out.append((at, PLACED, size, rank, n, a, length - gap + j * size))
+                    rank += n
+                    left -= n
+            put(gap - each * size, a, a + full)
+            if more:
+                put(gap - more * size, a + full, a + full + 1)
+            put(gap, a + full + bool(more), b)
+        if left:
+            out.append((at, PIECE, size, rank, left, -1, -1))
+    if at < LOWEST:
+        out += [(at + 1, GAP, gap, a, b - a, -1, -1) for gap in gaps for a, b in held[gap]]
+    return out
+
+
+def first_runs(counts: dict[int, int], length: int = LENGTH) -> tuple[list[tuple], int]:
+    """Runs of all pieces and of the sequences that they fill at least; the number of the latter."""
+    opened = -(-sum(s * n for s, n in counts.items()) // length)
+    pieces = [(range_of(s, length), PIECE, s, 0, n, -1, -1) for s, n in counts.items() if n]
+    return [*pieces, (0, GAP, length, 0, opened, -1, -1)], opened
+
+
+def plan(counts: dict[int, int], length: int = LENGTH) -> tuple[dict[int, list[tuple[int, int, int]]], int]:
+    """The supersteps without Spark, for small inputs.
+
+    Returns for each size the runs (first rank, first sequence, offset), sorted: the piece of rank r in the run goes
+    to sequence first sequence + (r - first rank) at that offset. And the number of sequences.
+    """
+    runs, opened = first_runs(counts, length)
+    placed: dict[int, list[tuple[int, int, int]]] = {}
+    while any(r[1] == PIECE for r in runs):
+        if not any(r[1] == GAP for r in runs):
+            more = -(-sum(r[2] * r[4] for r in runs) // length)
+            runs.append((0, GAP, length, opened, more, -1, -1))
+            opened += more
+        after = [x for at in range(LOWEST + 1) for x in sweep(at, [r for r in runs if r[0] == at], length)]
+        for _, kind, size, lo, _, sequence, offset in after:
+            if kind == PLACED:
+                placed.setdefault(size, []).append((lo, sequence, offset))
+        runs = [r for r in after if r[1] != PLACED]
+    return {size: sorted(found) for size, found in placed.items()}, opened
+
+
+def _superstep(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                ranges.setdefault(row[0], []).append(row)
+        for at, rows in sorted(ranges.items()):
+            if found := sweep(at, rows, length):
+                columns = list(zip(*found, strict=True))
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["at", "kind", "size", "lo", "n", "sequence", "offset"])
+
+    return run
+
+
+def supersteps(counts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """(size, lo, n, sequence, offset): where the ranks of each length go. counts: (length, n)."""
+    spark = counts.sparkSession
+    lowest = F.least(F.lit(LOWEST), F.length(F.bin(F.floor(F.lit(length) / F.col("length")))) - 1)
+    none = [F.lit(-1).cast(k).alias(c) for c, k in (("sequence", "long"), ("offset", "int"))]
+    runs = counts.select(lowest.cast("int").alias("at"), F.lit(PIECE).alias("kind"), F.col("length").cast("int").alias("size"), F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("n"), *none)
+    placed, opened, gaps = [], 0, 0
+    pending = runs.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("n")).first()["n"]
+    while pending:
+        if not gaps:
+            more = -(-pending // length)
+            runs = runs.unionByName(spark.createDataFrame([(0, GAP, length, opened, more, -1, -1)], _RUN))
+            opened += more
+        dealt = runs.repartitionByRange(LOWEST + 1, "at").sortWithinPartitions("at", F.desc("size"), "kind", "lo")
+        after = scratch.written(dealt.mapInArrow(_superstep(length), _RUN))
+        placed.append(after.filter(F.col("kind") == PLACED).select("size", "lo", "n", "sequence", "offset"))
+        runs = after.filter(F.col("kind") != PLACED)
+        left = runs.agg(F.coalesce(F.sum(F.when(F.col("kind") == PIECE, F.col("size") * F.col("n"))), F.lit(0)).alias("pending"), F.count_if(F.col("kind") == GAP).alias("gaps")).first()
+        pending, gaps = left["pending"], left["gaps"]
+    empty = spark.createDataFrame([], "size int, lo long, n long, sequence long, offset int")
+    for p in placed:
+        empty = empty.unionByName(p)
+    return empty
 
 
 def pack(docs: DataFrame, ranks_path: str, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
 
-    A null or empty text is one piece with the end id alone. Null ids and repeated rows are packed like others;
-    further columns are ignored; an empty table gives an empty result.
+    A null or empty text is one piece with the end id alone. Null ids, repeated rows and ties are packed like others;
+    further columns are ignored; an empty table gives an empty result. A long text is encoded whole, in memory of some 20
+    bytes a byte of text.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     cut = scratch.written(pieces(docs, ranks_path, length))
-    counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``length`` rows
-    runs, _ = plan(counts, length)
-    tables = {}
-    for size, found in runs.items():
-        r = np.array(found, np.int64)
-        tables[size] = (r[:, 0], r[:, 1], r[:, 2])
-    shared = spark.sparkContext.broadcast(tables)
-    blocks = max(1, sum(counts.values()) // BLOCK_ROWS)
-    block = F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(blocks)).cast("int")
-    numbered = ranked(cut.withColumn("block", block), ["length"], ["doc_id", "row", "piece"], "rank")
+    found = supersteps(cut.groupBy("length").agg(F.count("*").alias("n")), length, scratch).toArrow()  # bounded by lengths and gaps
+    size = found.column("size").to_numpy()
+    order = np.lexsort((found.column("lo").to_numpy(), size))
+    size, lo, sequence, offset = (found.column(c).to_numpy()[order] for c in ("size", "lo", "sequence", "offset"))
+    shared = spark.sparkContext.broadcast((np.searchsorted(size, np.arange(length + 2)), lo, sequence, offset))
+    numbered = ranked(cut, ["length"], ["nth"], "rank")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, lo, sequence, offset = shared.value
         for batch in batches:
             size, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+            to, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for s in np.unique(size):
                 own = np.flatnonzero(size == s)
-                first_rank, first_sequence, at = shared.value[int(s)]
-                k = np.searchsorted(first_rank, rank[own], "right") - 1
-                sequence[own], offset[own] = first_sequence[k] + rank[own] - first_rank[k], at[k]
+                k = first[s] + np.searchsorted(lo[first[s] : first[s + 1]], rank[own], "right") - 1
+                to[own], at[own] = sequence[k] + rank[own] - lo[k], offset[k]
             same = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*same, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*same, pa.array(to), pa.array(at)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return numbered.select(*columns, "rank").mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    return numbered.select(*columns, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -177,3 +177,53 @@ def test_gradients():
         low = loss()
         net.p[name][k] = old
         assert abs((high - low) / 2e-4 - g[name][k]) < 0.02 * abs(g[name][k]) + 1e-4
+
+
+def test_supersteps_in_spark_are_those_of_the_plan(spark):
+    rng = np.random.default_rng(8)
+    counts = collections.Counter(np.minimum(256, 1 + rng.geometric(0.01, 4000)).tolist()) + collections.Counter({1: 900, 7: 2000, 256: 40})
+    runs, opened = packing.plan(counts, 256)
+    table = spark.createDataFrame(sorted(counts.items()), "length long, n long")
+    found = collections.defaultdict(list)
+    for r in packing.supersteps(table, 256, Scratch(spark, "test")).collect():
+        found[r.size].append((r.lo, r.sequence, r.offset))
+    assert {k: sorted(v) for k, v in found.items()} == runs
+    # Against best fit, largest first, one piece after the other.
+    gaps = []
+    for size in sorted(counts.elements(), reverse=True):
+        k = min((i for i in range(len(gaps)) if gaps[i] >= size), key=lambda i: gaps[i], default=None)
+        if k is None:
+            gaps.append(256)
+            k = len(gaps) - 1
+        gaps[k] -= size
+    assert -(-sum(s * n for s, n in counts.items()) // 256) <= opened <= len(gaps) + 1
+
+
+@with_tables
+def test_packed_ids_and_places_of_every_document(docs, spark):
+    """Every piece's ids are those of the tokenizers call on its whole text, and no two pieces share a place."""
+    import zlib
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(80).collect()] + [(-1, None), (-2, ""), (-3, "a <|endoftext|>b<|endoftext|>"), (-4, "word " * 30_000)]
+    out = collections.defaultdict(list)
+    places = collections.defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary()).collect():
+        out[r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+        places[r.sequence_id].append((r.offset, r.length))
+    for i, text in rows:
+        ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
+        want, end = [], len(ids) % 2048 or 2048
+        for k, start in enumerate([0, *range(end, len(ids), 2048)]):
+            stop = end if k == 0 else start + 2048
+            want.append((k, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
+        assert sorted(out[i]) == want
+    for own in places.values():
+        at = 0
+        for offset, size in sorted(own):
+            assert offset == at
+            at += size
+        assert at <= 2048
