@@ -11,9 +11,12 @@ is given them first (there are at most ``n_shards`` such shards); its rest is a
    happen at once: a shard takes as many as it has room and loses (``n_shards`` squared numbers, summed by Spark);
 3. moves are admitted in a fixed order up to their quota; part of a text's documents may be admitted.
 
-Rounds end when none improves the cut. Texts of one document have no links; they fill what room is left at the end,
+Rounds end when none improves the cut. Texts that are still split then are stuck: their shards are full of each other.
+They give up all their places, and are laid whole, one after the other, into the room that this makes, so that fewer
+texts than shards are cut, at the shards' ends. Texts of one document have no links; they fill what room is left at the end,
 which makes the counts exact. Numbering inside a shard or a text runs in two levels (block totals, then rank inside
-a block), so that a text with a third of all rows, or a shard, is never ordered in one task.
+a block, by the number that a row got when the table was written), so that a text with a third of all rows, one row that
+is repeated, or a shard, is never ordered in one task.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from lodemill.llm.ranking import ranked
 LAW = "rows"
 #: Rows that one task numbers.
 BLOCK_ROWS = 4_000
+#: Texts of which one task adds up the counts.
+BLOCK_TEXTS = 20_000
 
 
 def _quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> list[list[int]]:
@@ -47,15 +52,43 @@ def _quotas(wanted: dict[tuple[int, int], int], room: list[int]) -> list[list[in
     return flow
 
 
+def _laid(texts: DataFrame, room: list[int], blocks: int) -> DataFrame:
+    """(text, shard, n): texts (text, n) one after the other into the rooms of the shards. A text's place on the line is
+    the sum of those before it: of the blocks before its own, and inside its block."""
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
+    earlier = Window.partitionBy("_").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("block").agg(F.sum("n").alias("n")).withColumn("_", F.lit(0))
+    starts = sums.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("block").orderBy("text").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, "block").withColumn("a", F.col("start") + F.col("inner")).withColumn("b", F.col("a") + F.col("n"))
+    ends = [sum(room[: s + 1]) for s in range(len(room))]
+    rooms = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(e - r).cast("long").alias("lo"), F.lit(e).cast("long").alias("hi")) for s, (r, e) in enumerate(zip(room, ends, strict=True))])
+    met = F.explode(F.filter(rooms, lambda r: (r.lo < F.col("b")) & (r.hi > F.col("a"))))
+    return placed.select("text", "a", "b", met.alias("r")).select("text", F.col("r.shard").alias("shard"), (F.least("r.hi", "b") - F.greatest("r.lo", "a")).alias("n"))
+
+
+def _unstuck(state: DataFrame, capacity: list[int], scratch: Scratch) -> DataFrame:
+    """state with the texts that are in several shards laid anew."""
+    split = scratch.written(state.groupBy("text").agg(F.count("*").alias("shards"), F.sum("n").cast("long").alias("n")).filter("shards > 1").select("text", "n"))
+    n_split = split.count()
+    if not n_split:
+        return state
+    whole = scratch.written(state.join(split.select("text"), "text", "left_anti"))
+    loads = {r["shard"]: r["n"] for r in whole.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
+    room = [c - loads.get(s, 0) for s, c in enumerate(capacity)]
+    return scratch.written(whole.select("text", "shard", "n").unionByName(_laid(split, room, max(1, n_split // BLOCK_TEXTS))))
+
+
 def _propagate(counts: DataFrame, capacity: list[int], rounds: int, scratch: Scratch) -> DataFrame:
     """counts: (text, shard, n) of the texts with two or more documents. Returns the same, moved under the quotas."""
     state = scratch.written(counts)
     cut = None
+    blocks_of_texts = max(64, state.count() // BLOCK_TEXTS)
     for _ in range(rounds):
         loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
         # Ties go to a shard by hash, so that moves in both directions balance.
         most = F.max(F.struct("n", F.xxhash64("text", "shard"), "shard")).over(Window.partitionBy("text"))
-        named = state.select("text", "shard", "n", most.shard.alias("to")).withColumn("block", F.pmod(F.xxhash64("text"), F.lit(64)).cast("int"))
+        named = state.select("text", "shard", "n", most.shard.alias("to")).withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks_of_texts)).cast("int"))
         moving = named.filter("to <> shard")
         blocks = moving.groupBy("shard", "to", "block").agg(F.sum("n").alias("wanted"))
         wanted = {(r["shard"], r["to"]): r["n"] for r in blocks.groupBy("shard", "to").agg(F.sum("wanted").alias("n")).collect()}
@@ -81,7 +114,7 @@ def _propagate(counts: DataFrame, capacity: list[int], rounds: int, scratch: Scr
         if cut is not None and now >= cut:
             break
         cut = now
-    return state
+    return _unstuck(state, capacity, scratch)
 
 
 def _whole_shards(groups: DataFrame, capacity: list[int]) -> tuple[dict[int, int], dict[int, int]]:
@@ -103,8 +136,8 @@ def _whole_shards(groups: DataFrame, capacity: list[int]) -> tuple[dict[int, int
 def balanced_shards(docs: DataFrame, n_shards: int = 24, rounds: int = 6, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row of docs.
 
-    Null and empty texts are equal texts of size 8. Null ids and repeated rows are rows like others. Extra columns of
-    docs are ignored. An empty table gives an empty result.
+    Null and empty texts are equal texts of size 8. Null ids, ties and repeated rows are rows like others. Extra columns of
+    docs are ignored. A long text is a hash after it was read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "shards")
@@ -115,22 +148,23 @@ def balanced_shards(docs: DataFrame, n_shards: int = 24, rounds: int = 6, scratc
             (F.octet_length(text) + 8).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, F.octet_length(text)).alias("text"),
+            F.monotonically_increasing_id().alias("nth"),
         )
     )
     total = rows.count()
-    blocks = max(1, total // BLOCK_ROWS)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    task, inside = F.shiftright("nth", 33), F.col("nth").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.withColumn("block", task * (1 << 24) + (inside / BLOCK_ROWS).cast("long"))
     capacity = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     groups = scratch.written(rows.groupBy("text").agg(F.count("*").alias("n")).filter("n > 1"))
     owner, left = _whole_shards(groups, capacity)
     free = [s for s in range(n_shards) if s not in owner]
     # First labels: linked rows are dealt to the free shards in turn, larger ones first, so none starts overfull.
     linked = rows.join(groups.select("text"), "text", "left_semi").filter(~F.col("text").isin(list(left)))
-    linked = linked.select("text", "doc_id", "block")
+    linked = linked.select("text", "nth", "block")
     for text, n in left.items():
-        rest = spark.range(n).select(F.lit(text).alias("text"), F.col("id").alias("doc_id"), F.pmod("id", F.lit(blocks)).cast("int").alias("block"))
+        rest = spark.range(n).select(F.lit(text).alias("text"), F.col("id").alias("nth"), (-1 - F.col("id") / BLOCK_ROWS).cast("long").alias("block"))
         linked = linked.unionByName(rest)
-    linked = ranked(linked.withColumn("all", F.lit(0)), ["all"], ["doc_id", "text"], "r")
+    linked = ranked(linked.withColumn("all", F.lit(0)), ["all"], ["nth", "text"], "r")
     turn = F.get(F.array(*[F.lit(s) for s in free or [0]]), F.pmod("r", F.lit(max(1, len(free)))).cast("int"))
     linked = linked.groupBy("text", turn.alias("shard")).agg(F.count("*").alias("n"))
     inner = [0 if s in owner else c for s, c in enumerate(capacity)]
@@ -146,10 +180,10 @@ def balanced_shards(docs: DataFrame, n_shards: int = 24, rounds: int = 6, scratc
     # A row's rank among the rows of its text, or among all single rows, picks its shard.
     keyed = rows.join(ranges, "text", "left").withColumn("group", F.when(F.col("ranges").isNotNull(), F.col("text")))
     keyed = keyed.withColumn("single", F.col("ranges").isNull()).withColumn("group", F.coalesce("group", F.lit(0)))
-    numbered = ranked(keyed, ["single", "group"], ["doc_id", "text"], "r")
+    numbered = ranked(keyed, ["single", "group"], ["nth"], "r")
     default = F.array(*[F.struct(F.lit(e).cast("long").alias("end"), F.lit(s).alias("shard")) for s, e in enumerate(ends)])
     numbered = numbered.withColumn("ranges", F.coalesce("ranges", default)).withColumn("shard", F.expr("filter(ranges, x -> r < x.end)[0].shard"))
-    slotted = ranked(numbered.drop("ranges", "r"), ["shard"], ["doc_id", "text"], "slot")
+    slotted = ranked(numbered.drop("ranges", "r"), ["shard"], ["nth"], "slot")
     return slotted.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

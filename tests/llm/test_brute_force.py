@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodemill.llm import near_dup, packing, quality_net, suffix_dedup
+from lodemill.llm import near_dup, packing, quality_net, sharding, suffix_dedup
 from lodemill.llm._base import Scratch
 from lodemill.llm.queries import vocabulary
 from lodemill.llm.suffix_sort import SuffixOrder, later_repeats
@@ -227,3 +227,35 @@ def test_packed_ids_and_places_of_every_document(docs, spark):
             assert offset == at
             at += size
         assert at <= 2048
+
+
+@pytest.mark.parametrize("singles", [0, 60, 4000])
+def test_sharding_cuts_few_texts(spark, singles):
+    """Whole groups in even shards: the best that any assignment can do cuts none, and a line cuts one at each end."""
+    import zlib
+
+    rng = np.random.default_rng(singles)
+    rows, sizes = [], rng.integers(2, 31, 500).tolist()
+    for g, n in enumerate(sizes):
+        rows += [f"text {g}"] * n
+    rows += [f"single {k}" for k in range(singles)]
+    order = rng.permutation(len(rows))
+    table = [(int(i), rows[i]) for i in order] + [(int(order[0]), rows[order[0]])] * 5
+    out = sharding.balanced_shards(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    counts = collections.Counter(r.shard for r in out)
+    assert len(out) == len(table) and max(counts.values()) - min(counts.values()) <= 1 and set(counts) == set(range(24))
+    for s in range(24):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(counts[s]))
+    texts = dict(table)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in out) == collections.Counter((i, len(t) + 8, zlib.crc32(t.encode())) for i, t in table)
+    held = collections.defaultdict(set)
+    for r in out:
+        held[texts[r.doc_id]].add(r.shard)
+    cut = [t for t, s in held.items() if len(s) > 1]
+    assert len(cut) <= 23 and all(len(held[t]) == 2 for t in cut)
+    # The cut in links, against the same documents dealt in turn.
+    def links(where):
+        n = collections.Counter((texts[r.doc_id], where(i, r)) for i, r in enumerate(out))
+        return sum(x * x for x in collections.Counter(texts[r.doc_id] for r in out).values()) - sum(x * x for x in n.values())
+
+    assert links(lambda i, r: r.shard) < 0.1 * links(lambda i, r: i % 24)
