@@ -1,19 +1,22 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 A document is the set of its runs of five words (all its words, if they are one to four). Documents with equal sets
-are one node, so copies never meet each other again. Two nodes are linked when the Jaccard similarity of their sets
-is at least the threshold.
-
-The forest: every node has ``trees`` sequences of min-hashes, sorted as prefixes in a trie each. Matching starts from
-the full depth and shortens the prefix, level by level, until the expected recall for pairs at the threshold reaches
-the target; that depth is the floor for all nodes. Below it a trie node with few members is shortened by one more
-level, which costs little and finds more. Members of one trie node are compared by size and by all their min-hashes
-(eight bits each); what looks alike makes candidate groups. In each candidate group all pairs are compared by their
+are one node, named by a hash of its set, so copies never meet each other again. Two nodes are linked when the Jaccard
+similarity of their sets is at least the threshold.
+
+The forest: every node has ``trees`` sequences of ``depth`` min-hashes. In each tree the nodes are sorted by their
+sequences, so the members of a trie node of any depth stand together. Matching starts with whole sequences and shortens
+the matched prefix by one level at a time; at each level only pairs are compared that share this prefix and no longer one
+in that tree. All their min-hashes (eight bits each) say how similar a pair is. From the pairs met so far the number of
+pairs that have not been met in any tree is estimated (a pair of similarity s meets in a tree with probability s to the
+power of the depth), with one pair more that is just at the threshold; shortening goes on until the expected recall reaches
+the target, or ``min_depth``. What looks alike makes candidate groups. In each of them all pairs are compared by their
 exact sets, whichever tree they met in.
 
 Pairs stay inside the tasks: a comparison gives its members' link counts and a spanning forest of their links, a row
-for each member. A trie node or a group with many members is cut into blocks in order of size, and each pair of blocks
-is compared on its own, so no group has to fit into a task and none is capped.
+for each member. A trie node or a group with many members is cut into blocks, and each pair of blocks is compared on its
+own, so no group has to fit into a task and none is capped. Blocks of sets grow with the group, so that a set is copied
+16 times at most in groups of up to 65,536, and once for 4096 members beyond that.
 """
 
 from __future__ import annotations
@@ -22,30 +25,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodemill.llm._base import Scratch, byte_slices, packed
+from lodemill.llm.ranking import ranked
 from lodemill.llm.textblock import NOT_SPACE, TextBlock, mix, windows
 
 N = 5
 THRESHOLD = 0.8
-TREES, DEPTH = 20, 8
-TARGET_RECALL = 0.999
-#: Members of a trie node up to which one level less is matched.
-FEW = 16
+TREES, DEPTH, MIN_DEPTH = 20, 8, 4
+TARGET_RECALL = 0.9999
 #: Members of a trie node that one task compares with each other or with as many others.
 BLOCK = 512
-#: Members of a group whose exact sets one comparison holds, twice.
-EXACT_BLOCK = 256
+#: Members of a group whose exact sets one comparison holds, twice: a share of the group between these.
+EXACT_BLOCK, EXACT_SHARE, MAX_EXACT_BLOCK = 256, 16, 4096
+#: Members of a group that one task numbers.
+NUMBERED = 50_000
 NULL_ID = -(1 << 63)
 
 
-def match_depth(threshold: float, trees: int, depth: int, target: float) -> int:
-    """The longest prefix at which a pair at the threshold is found with the target probability, 1 at least."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def expected_recall(met: dict[float, int], trees: int, depth: int, threshold: float) -> float:
+    """Expected share of the pairs at or above the threshold that met in any tree at this depth.
+
+    met: similarity -> how often pairs of it met, a pair counted once for each tree. One pair more is supposed to be at
+    the threshold, so that a table in which nothing met is no proof that there is nothing.
+    """
+    found = lambda s: 1 - (1 - s**depth) ** trees
+    pairs = {s: n / (trees * s**depth) for s, n in met.items() if s >= threshold}
+    return (sum(n * found(s) for s, n in pairs.items()) + found(threshold)) / (sum(pairs.values()) + 1)
 
 
 def shingles(block: TextBlock, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +89,8 @@ def _set_keys(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(docs: DataFrame, slots: int, n: int = N) -> DataFrame:
-    """doc_id, k1 and k2 (name of the set), n (its size) and mh (``slots`` min-hashes of 32 bits) of every row."""
+    """id, row (hash of the text), k1 and k2 (name of the set), n (its size) and mh (``slots`` min-hashes of 32 bits) of
+    every row. A null id is NULL_ID."""
     rng = np.random.default_rng(77)
     flips, factors = rng.integers(0, 1 << 32, slots, dtype=np.uint32), rng.integers(0, 1 << 31, slots, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
@@ -98,68 +107,100 @@ def signatures(docs: DataFrame, slots: int, n: int = N) -> DataFrame:
                     mh[full, k] = np.minimum.reduceat((low ^ flips[k]) * factors[k], first[full])
             k1, k2 = _set_keys(h, first)
             packed_rows = pa.array([r.tobytes() for r in mh], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(size), packed_rows], names=["doc_id", "k1", "k2", "n", "mh"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(k1), pa.array(k2), pa.array(size), packed_rows], names=["id", "row", "k1", "k2", "n", "mh"])
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, mh binary")
+    rows = docs.select(_id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "id long, row long, k1 long, k2 long, n long, mh binary")
 
 
-def _leaves(nodes: DataFrame, trees: int, depth: int) -> DataFrame:
-    """(tree, short, long, node): the prefixes of the last two depths of every node in every tree."""
-    above = max(1, depth - 1)
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def sets_of(rows: DataFrame) -> DataFrame:
+    """The nodes: a row for each distinct set, with how many rows have it (members) and the first of them (id, row)."""
+    found = rows.groupBy("k1", "k2").agg(F.min(F.struct("id", "row")).alias("r"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("mh").alias("mh"))
+    return found.select(F.col("k1").alias("node"), "k1", "k2", "r.id", "r.row", "members", "n", "mh")
+
+
+def _prefixes(mh: np.ndarray, tree: np.ndarray, depth: int) -> np.ndarray:
+    """(rows, depth): hashes of the prefixes of all lengths; prefixes of different trees never agree."""
+    key = mix(tree.astype(np.uint64) + np.uint64(1))
+    out = np.empty((len(mh), depth), np.int64)
+    for k in range(depth):
+        key = mix(key * np.uint64(31) + mh[:, k].astype(np.uint64) + np.uint64(1))
+        out[:, k] = key.view(np.int64)
+    return out
+
+
+def forest_of(nodes: DataFrame, trees: int, depth: int, min_depth: int) -> DataFrame:
+    """The tries, without what shares no prefix of min_depth with any other: node, n, sig (all min-hashes, eight bits
+    each) and prefix (hashes of the prefixes of all lengths), a row for each node and tree."""
+    nodes = nodes.filter("n > 0").select("node", "n", "mh")
+
+    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            mh = np.frombuffer(b"".join(batch.column("mh").to_pylist()), "<u4").reshape(batch.num_rows, trees, depth).astype(np.uint64)
-            key, short = np.zeros((batch.num_rows, trees), np.uint64), None
-            for k in range(depth):
-                key = mix(key * np.uint64(31) + mh[:, :, k] + np.uint64(1))
-                if k + 1 == above:
-                    short = key.copy()
-            node = np.repeat(batch.column("node").to_numpy(), trees)
-            tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(short.ravel().view(np.int64)), pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["tree", "short", "long", "node"])
+            if batch.num_rows:
+                mh = np.frombuffer(b"".join(batch.column("mh").to_pylist()), "<u4").reshape(batch.num_rows * trees, depth)
+                tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
+                node = np.repeat(batch.column("node").to_numpy(), trees)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(_prefixes(mh, tree, min_depth)[:, -1]), pa.array(node)], names=["tree", "bucket", "node"])
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                mh = np.frombuffer(b"".join(batch.column("mh").to_pylist()), "<u4").reshape(batch.num_rows, trees, depth)
+                tree = batch.column("tree").to_numpy()
+                prefix = _prefixes(mh[np.arange(len(mh)), tree], tree, depth)
+                sig = ((mh.reshape(len(mh), -1) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+                arrays = [batch.column("node"), batch.column("n"), pa.array([r.tobytes() for r in sig], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(prefix.ravel()), depth).cast(pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "n", "sig", "prefix"])
 
-    return nodes.select("node", "mh").mapInArrow(run, "tree int, short long, long long, node long")
+    leaf = nodes.select("node", "mh").mapInArrow(leaves, "tree int, bucket long, node long")
+    shared = leaf.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
+    met = leaf.join(shared, "bucket", "left_semi").select("tree", "node")
+    return met.join(nodes, "node").select("node", "n", "tree", "mh").mapInArrow(grown, "node long, n long, sig binary, prefix array<long>")
 
 
 def _compare(threshold: float, slots: int):
+    """Compare the runs of (bucket, a, b): a forest of what looks alike, and how often pairs agree in how many slots."""
     # Eight bits a slot agree by chance in 1 of 256; 4.5 standard errors below the threshold loses no pair to speak of.
     least = (threshold - 4.5 * (threshold * (1 - threshold) / slots) ** 0.5) * slots
 
-    def pairs(run_id: np.ndarray, cross: np.ndarray, block: np.ndarray, node: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = [], []
+    def pairs(run_id: np.ndarray, cross: np.ndarray, block: np.ndarray, deeper: np.ndarray, node: np.ndarray, size: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right, met = [], [], np.zeros(slots + 1, np.int64)
         for d in range(1, len(run_id)):
             i = np.flatnonzero(run_id[d:] == run_id[:-d])
             if not len(i):
                 break
             j = i + d
-            ok = (~cross[i] | (block[i] != block[j])) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])) & (node[i] != node[j])
+            # Only pairs that no longer prefix brought together before.
+            ok = (~cross[i] | (block[i] != block[j])) & (deeper[i] != deeper[j]) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])) & (node[i] != node[j])
             i, j = i[ok], j[ok]
             if len(i):
-                ok = (sig[i] == sig[j]).sum(1) >= least
+                same = (sig[i] == sig[j]).sum(1)
+                met += np.bincount(same, minlength=slots + 1)
+                ok = same >= least
                 left.append(np.minimum(node[i][ok], node[j][ok]))
                 right.append(np.maximum(node[i][ok], node[j][ok]))
         empty = [np.zeros(0, np.int64)]
-        return np.concatenate(left or empty), np.concatenate(right or empty)
+        return np.concatenate(left or empty), np.concatenate(right or empty), met
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush(rows: pa.Table) -> pa.RecordBatch:
+        total = np.zeros(slots + 1, np.int64)
+        for rows in whole_runs(batches, ("bucket", "a", "b"), 4096):
             rows = rows.combine_chunks()
-            columns = {c: rows.column(c).to_numpy() for c in ("bucket", "a", "b", "block", "node", "n")}
+            columns = {c: rows.column(c).to_numpy() for c in ("bucket", "a", "b", "block", "deeper", "node", "n")}
             change = np.zeros(rows.num_rows, bool)
             for c in ("bucket", "a", "b"):
                 change[1:] |= columns[c][1:] != columns[c][:-1]
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, slots)
-            x, y = forest(*pairs(np.cumsum(change), columns["a"] != columns["b"], columns["block"], columns["node"], columns["n"], sig))
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
-
-        for rows in whole_runs(batches, ("bucket", "a", "b"), 4096):
-            yield flush(rows)
+            x, y, met = pairs(np.cumsum(change), columns["a"] != columns["b"], columns["block"], columns["deeper"], columns["node"], columns["n"], sig)
+            total += met
+            x, y = forest(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(np.full(len(x), -1, np.int32)), pa.array(np.zeros(len(x), np.int64))], names=["x", "y", "same", "met"])
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int64)), pa.array(np.zeros(len(k), np.int64)), pa.array(k.astype(np.int32)), pa.array(total[k])], names=["x", "y", "same", "met"])
 
     return run
 
@@ -206,36 +247,49 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def candidates(nodes: DataFrame, trees: int, depth: int, threshold: float = THRESHOLD, few: int = FEW, block: int = BLOCK) -> DataFrame:
-    """(x, y), x < y: links that connect the nodes that share a trie node and look similar by all their min-hashes."""
-    nodes = nodes.filter("n > 0")
-    leaf = _leaves(nodes, trees, depth)
-    at_short, at_long = Window.partitionBy("tree", "short"), Window.partitionBy("tree", "short", "long")
-    counted = leaf.withColumn("n_short", F.count("*").over(at_short)).withColumn("n_long", F.count("*").over(at_long))
-    shortened = F.col("n_short") <= few
-    met = counted.withColumn("members", F.when(shortened, F.col("n_short")).otherwise(F.col("n_long"))).filter("members > 1")
-    met = met.select(F.when(shortened, F.xxhash64("tree", "short")).otherwise(F.xxhash64("tree", "short", "long")).alias("bucket"), "node", "members")
+def _numbered(df: DataFrame, key: str, total: int) -> DataFrame:
+    """df with ``place`` inside each key, in two levels: no task numbers a key alone."""
+    block = F.pmod(F.xxhash64("node"), F.lit(max(1, total // NUMBERED))).cast("int")
+    return ranked(df.withColumn("block", block), [key], ["n", "node"], "place").drop("block")
+
+
+def level_links(trie: DataFrame, at: int, depth: int, threshold: float, slots: int, block: int = BLOCK) -> DataFrame:
+    """(x, y, same, met) of ``_compare`` for the pairs that share a prefix of length ``at`` and no longer one."""
+    deeper = F.col("node") if at == depth else F.get("prefix", F.lit(at))
+    rows = trie.select(F.get("prefix", F.lit(at - 1)).alias("bucket"), deeper.alias("deeper"), "node", "n", "sig")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("deeper").alias("lo"), F.max("deeper").alias("hi"))
+    rows = rows.join(sizes.filter("lo <> hi").select("bucket", "members"), "bucket")
+    zero = [F.lit(0).alias(c) for c in ("a", "b", "block")]
+    small = rows.filter(F.col("members") <= block).select("bucket", *zero, "deeper", "node", "n", "sig")
+    large = rows.filter(F.col("members") > block)
+    n_large = large.count()
+    if n_large:
+        large = _numbered(large, "bucket", n_large).withColumn("block", (F.col("place") / block).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), ((F.col("members") - 1) / block).cast("int")))
+        large = large.withColumn("other", other).select("bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "deeper", "node", "n", "sig")
+        small = small.unionByName(large)
+    dealt = small.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+    return dealt.mapInArrow(_compare(threshold, slots), "x long, y long, same int, met long")
+
+
+def candidates(
+    nodes: DataFrame, scratch: Scratch, trees: int = TREES, depth: int = DEPTH, min_depth: int = MIN_DEPTH, threshold: float = THRESHOLD, target: float = TARGET_RECALL, block: int = BLOCK
+) -> tuple[DataFrame, int, float]:
+    """((x, y), x < y: links that connect the nodes that share a trie node and look similar by all their min-hashes; the
+    depth to which prefixes were shortened; the expected recall there)."""
     slots = trees * depth
-
-    def eight_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                mh = np.frombuffer(b"".join(batch.column("mh").to_pylist()), "<u4").reshape(batch.num_rows, slots)
-                sig = ((mh * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array([r.tobytes() for r in sig], pa.binary())], names=["node", "n", "sig"])
-
-    sig = nodes.select("node", "n", "mh").mapInArrow(eight_bits, "node long, n long, sig binary")
-    rows = met.join(sig, "node")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("n", "node")) - 1
-    large = F.col("members") > block
-    small = rows.filter(~large).select("bucket", F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("block"), "node", "n", "sig")
-    big = rows.filter(large).withColumn("block", (place / block).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), ((F.col("members") - 1) / block).cast("int")))
-    big = big.withColumn("other", other).select(
-        "bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "n", "sig"
-    )
-    dealt = small.unionByName(big).repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
-    return dealt.mapInArrow(_compare(threshold, slots), "x long, y long").distinct()
+    trie = scratch.written(forest_of(nodes, trees, depth, min_depth))
+    links, met = None, {}
+    for at in range(depth, min_depth - 1, -1):
+        found = scratch.written(level_links(trie, at, depth, threshold, slots, block))
+        here = found.filter("same < 0").select("x", "y")
+        links = here if links is None else links.unionByName(here)
+        for r in found.filter("same >= 0").groupBy("same").agg(F.sum("met").alias("met")).collect():  # at most a row for each slot
+            met[r["same"] / slots] = met.get(r["same"] / slots, 0) + r["met"]
+        recall = expected_recall(met, trees, at, threshold)
+        if recall >= target:
+            break
+    return links.distinct(), at, recall
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -316,19 +370,18 @@ def verified(
             h, first = shingles(TextBlock(batch.column("text")), n)
             k1, k2 = _set_keys(h, first)
             rows = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(k1), pa.array(k2), pa.array(rows, pa.binary())], names=["node", "k1", "k2", "set"])
-
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), F.col("text").cast("string"))
-    found = texts.join(groups.select("node").hint("shuffle_hash"), "node", "left_semi").mapInArrow(sets, "node long, k1 long, k2 long, set binary")
-    found = scratch.written(found.dropDuplicates(["node", "k1", "k2"]))
-    place = Window.partitionBy("group").orderBy("n", "node")
-    members = nodes.select("node", "k1", "k2", "n", "members").join(groups, "node")
-    members = members.withColumn("size", F.count("*").over(Window.partitionBy("group"))).withColumn("block", ((F.row_number().over(place) - 1) / block).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / block).cast("int")))
-    dealt = members.withColumn("other", other).select(
-        "group", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "k1", "k2", "n", "members"
-    )
-    dealt = dealt.join(found, ["node", "k1", "k2"]).select("group", "a", "b", "block", "node", "n", "members", "set")
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(rows, pa.binary())], names=["k1", "k2", "set"])
+
+    members = scratch.written(nodes.select("node", "k1", "k2", "id", "row", "n", "members").join(groups, "node"))
+    texts = docs.select(_id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
+    found = texts.join(members.select("id", "row").hint("shuffle_hash"), ["id", "row"], "left_semi").mapInArrow(sets, "k1 long, k2 long, set binary")
+    found = scratch.written(found.dropDuplicates(["k1", "k2"]))
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    placed = _numbered(members, "group", members.count()).join(sizes, "group")
+    width = F.greatest(F.lit(block), F.least(F.lit(MAX_EXACT_BLOCK), (F.col("size") / EXACT_SHARE).cast("int")))
+    placed = placed.withColumn("block", (F.col("place") / width).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / width).cast("int"))))
+    dealt = placed.select("group", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "k1", "k2", "n", "members")
+    dealt = dealt.join(found, ["k1", "k2"]).select("group", "a", "b", "block", "node", "n", "members", "set")
     dealt = dealt.repartition("group", "a", "b").sortWithinPartitions("group", "a", "b")
     return dealt.mapInArrow(_exact(threshold, all_pairs), "x long, y long, jaccard double, others long")
 
@@ -366,49 +419,56 @@ def near_duplicates(
     """(classes, links).
 
     classes has a row for every row of docs: doc_id, node (smallest id with an equal set), class_id (smallest id of
-    the connected group), n_copies (other documents with an equal set) and n_links (other documents that reach the
-    threshold, copies included). links: (x, y) between nodes, x < y, which connect each class; with ``all_pairs`` all
-    links, with their ``jaccard``, as many as a group has pairs.
+    the connected group), n_copies (other documents with an equal set), n_links (other documents that reach the
+    threshold, copies included), and ``row`` (hash of the text) and ``class`` (a name of the group that no other has,
+    whatever the ids). links: (x, y) between nodes, x < y, which connect each class; with ``all_pairs`` all links, with
+    their ``jaccard``, as many as a group has pairs.
 
     Texts without words (null, empty, white space) have the empty set: they are copies of each other and linked to
-    nothing else. A null id is one more id. An id names one document: rows that share it, repeated rows among them,
-    share a class. Further columns are ignored. An empty table gives empty results.
+    nothing else. Sets, not ids, make the groups: rows that share an id, or have none, are in different classes unless
+    their texts are near. A null id comes before all others, and stays null where it names a node or a class. Repeated rows
+    are copies; ties go to the smaller id; further columns are ignored. A long text is one slice, of some 50 bytes a byte.
+    An empty table gives empty results. Sets are named by 64 bits: two of a billion nodes share a name with probability
+    0.03.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near")
-    depth = match_depth(threshold, trees, depth, target_recall)
     rows = scratch.written(signatures(docs, trees * depth))
-    by_set = rows.groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("mh").alias("mh")
-    )
-    nodes = scratch.written(by_set)
-    candidate_groups = components(candidates(nodes, trees, depth, threshold), scratch)
-    found = scratch.written(verified(docs, nodes, candidate_groups, threshold, scratch=scratch))
-    links = found.filter("x < y").select("x", "y")
-    linked = found.filter("x = y").groupBy(F.col("x").alias("node")).agg(F.sum("others").alias("others"))
-    groups = components(links, scratch)
-    if all_pairs:
-        links = verified(docs, nodes, candidate_groups, threshold, all_pairs=True, scratch=scratch).select("x", "y", "jaccard")
-    known = nodes.select("k1", "k2", "node", "members").join(groups, "node", "left").join(linked, "node", "left")
-    whole = rows.select("doc_id", "k1", "k2", "n").join(known, ["k1", "k2"], "left")
-    own = F.col("doc_id")
+    nodes = scratch.written(sets_of(rows))
+    found, _, _ = candidates(nodes, scratch, trees, depth, min(MIN_DEPTH, depth), threshold, target_recall)
+    candidate_groups = components(found, scratch)
+    exact = scratch.written(verified(docs, nodes, candidate_groups, threshold, scratch=scratch))
+    linked = exact.filter("x = y").groupBy(F.col("x").alias("node")).agg(F.sum("others").alias("others"))
+    groups = components(exact.filter("x < y").select("x", "y"), scratch)
+    known = nodes.select("k1", "k2", "node", "id", "members").join(groups, "node", "left").join(linked, "node", "left")
+    known = scratch.written(known.withColumn("group", F.coalesce("group", "node")))
+    tops = known.groupBy("group").agg(F.min("id").alias("top"))
     real = lambda c: F.when(c != NULL_ID, c)
-    classes = whole.select(
-        real(own).alias("doc_id"),
-        real(F.coalesce("node", own)).alias("node"),
-        real(F.coalesce("group", "node", own)).alias("class_id"),
-        F.coalesce(F.col("members") - 1, F.lit(0)).cast("long").alias("n_copies"),
-        (F.coalesce(F.col("members") - 1, F.lit(0)) + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"),
+    of_row = rows.select("id", "row", "k1", "k2").join(known.join(tops, "group"), ["k1", "k2"]).drop("node")
+    classes = of_row.select(
+        real(rows["id"]).alias("doc_id"),
+        real(known["id"]).alias("node"),
+        real(F.col("top")).alias("class_id"),
+        (F.col("members") - 1).cast("long").alias("n_copies"),
+        (F.col("members") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"),
+        "row",
+        F.col("group").alias("class"),
     )
-    return classes, links
+    links = exact.filter("x < y")
+    if all_pairs:
+        links = verified(docs, nodes, candidate_groups, threshold, all_pairs=True, scratch=scratch)
+    of = lambda c: nodes.select(F.col("node").alias(c), real(F.col("id")).alias(f"{c}_id"))
+    named = links.join(of("x"), "x").join(of("y"), "y")
+    named = named.select(F.least("x_id", "y_id").alias("x"), F.greatest("x_id", "y_id").alias("y"), *(["jaccard"] if all_pairs else []))
+    return classes, named
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, scratch: Scratch | None = None) -> DataFrame:
-    """docs with one row of each connected group: the one with the smallest id and, of rows that share that id, the
-    smallest text hash. Of texts without words one stays."""
+    """docs with one row of each connected group: the one with the smallest id (null first) and, of rows that share that
+    id, the smallest text hash. Of texts without words one stays, and of repeated rows one. All columns stay."""
+    scratch = scratch or Scratch(docs.sparkSession, "kept")
     classes, _ = near_duplicates(docs, threshold, scratch=scratch)
-    stay = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    stay = stay.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"))
-    named = packed(docs).withColumn("_id", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(NULL_ID)))
-    kept = named.join(stay.hint("shuffle_hash"), "_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("d.text")))
-    return kept.withColumn("_first", first).filter("_first = 1").select("d.*")
+    first = classes.groupBy("class").agg(F.min(F.struct(_id(F.col("doc_id")).alias("id"), "row")).alias("r"))
+    stay = first.select(F.col("r.id").alias("_id"), F.col("r.row").alias("_row")).distinct()
+    named = packed(docs).select("d", _id(F.col("d.doc_id")).alias("_id"), F.xxhash64("d.text").alias("_row"))
+    kept = named.join(stay.hint("shuffle_hash"), ["_id", "_row"], "left_semi")
+    return kept.groupBy("_id", "_row").agg(F.first("d").alias("d")).select("d.*")

@@ -102,17 +102,44 @@ def test_near_duplicates_find_all_links(spark):
 def test_large_trie_nodes_are_compared_in_blocks(spark):
     rows = _near_copies(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    nodes = near_dup.signatures(df, 100).selectExpr("doc_id AS node", "n", "mh")
     scratch = Scratch(spark, "test")
+    nodes = scratch.written(near_dup.sets_of(near_dup.signatures(df, 100)))
     group = lambda links: {(r.node, r.group) for r in near_dup.components(links, scratch).collect()}
-    one, many = (near_dup.candidates(nodes, 20, 5, 0.8, 1, block) for block in (512, 2))
-    assert group(one) == group(many)
-    nodes = near_dup.signatures(df, 100).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"))
+    (one, depth, recall), (many, same_depth, same_recall) = (near_dup.candidates(nodes, scratch, 20, 5, 4, block=block) for block in (512, 2))
+    assert group(one) == group(many) and (depth, recall) == (same_depth, same_recall)
     groups = near_dup.components(one, scratch)
     whole, blocks = ({(r.x, r.y, round(r.jaccard, 6)) for r in near_dup.verified(df, nodes, groups, all_pairs=True, block=b).collect()} for b in (256, 2))
     assert whole == blocks and len(whole) > 20
 
 
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    scratch = Scratch(spark, "test")
+    rng = np.random.default_rng(1)
+
+    def depth_of(changes):
+        """Pairs of texts that differ in some words."""
+        rows = []
+        for _ in range(150):
+            base = [f"w{x}" for x in rng.integers(0, 9999, 400)]
+            other = list(base)
+            for k in rng.choice(400, changes, replace=False):
+                other[k] = f"x{rng.integers(0, 10**6)}"
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+        nodes = scratch.written(near_dup.sets_of(near_dup.signatures(spark.createDataFrame(rows, "doc_id long, text string"), 160)))
+        links, depth, recall = near_dup.candidates(nodes, scratch, target=0.9985)
+        return depth, recall, links.count()
+
+    alike, apart = depth_of(1), depth_of(7)
+    assert alike[0] > apart[0] and min(alike[1], apart[1]) >= 0.9985 and min(alike[2], apart[2]) >= 149
+    # Without any pair the supposed one at the threshold decides.
+    assert near_dup.expected_recall({}, 20, 5, 0.8) == 1 - (1 - 0.8**5) ** 20
+    # Each pair of one tree is compared at one level only: events add up to those of the shortest prefix alone.
+    rows = spark.createDataFrame(_near_copies(9), "doc_id long, text string")
+    trie = scratch.written(near_dup.forest_of(near_dup.sets_of(near_dup.signatures(rows, 160)), 20, 8, 4))
+    met = lambda at, depth: near_dup.level_links(trie, at, depth, 0.8, 160).groupBy().sum("met").first()[0] or 0
+    assert sum(met(at, 8) for at in range(4, 9)) == met(4, 4) > 100
+
+
 @with_tables
 def test_tokens_and_plan(docs):
     from public_tokenizers import path

@@ -78,3 +78,54 @@ def test_stages(spark, tmp_path):
         used[r.sequence_id] = r.offset + r.length
     assert max(used.values()) <= 2048
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def _odd(spark, folder):
+    """Tables with nulls, empty and repeated rows, shared ids, and names that operators use inside."""
+    passage = "Nine plain words stand here as one benchmark passage today"
+    other = "Another benchmark item of exactly nine words stands right here"
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [
+        (1, "a line that is long enough\nown first line here"), (2, "a line that is long enough\nown second line here"), (2, "a line that is long enough\nown second line here"), (None, "no id but a text of its own"),
+        (None, "no id and quite another text"), (3, None), (4, ""), (5, f"{prose} {passage} tail"), (6, f"{prose} {passage}. And {other}!"), (7, f"{prose} word60"), (8, f"{prose} word61"), (9, "shared id one, words apart"),
+        (9, "shared id two, all of them different"), (10, "\n\n"), (11, prose.upper()),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "CAST(NULL AS STRING) AS source", "CAST(length(text) AS BIGINT) AS n_chars", "1 AS d", "2 AS _id", "3 AS row", "4 AS keep", "5 AS n")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([("x", passage), ("y", other), ("z", None), (None, "")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet"), passage, prose
+
+
+def test_stages_on_odd_rows(spark, tmp_path, monkeypatch):
+    docs, passage, prose = _odd(spark, tmp_path)
+    sf = str(tmp_path)
+    key = lambda rows: sorted((str(r.doc_id), str(r.text)) for r in rows)
+    good = corpus_pipeline.good_quality(spark, docs, sf)
+    scores = quality_net.scores(docs, quality_net.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))).collect()
+    assert good.columns == docs.columns and good.count() == sum(r.predicted for r in scores) and set(key(good.collect())) <= set(key(docs.collect()))
+
+    lines = corpus_pipeline.first_lines(spark, docs, sf)
+    assert lines.columns == docs.columns
+    text = {r.doc_id: r.text for r in lines.collect()}
+    assert lines.count() == docs.count() and text[1] == "a line that is long enough\nown first line here" and text[2] == "own second line here"
+    assert text[3] is None and text[4] == "" and text[10] == "\n\n"
+
+    one = corpus_pipeline.one_of_each(spark, docs, sf)
+    assert one.columns == docs.columns
+    left = key(one.collect())
+    # The repeated row, texts without words but the first, and near copies go; rows without an id and with one id stay.
+    assert left == key([r for r in docs.distinct().collect() if r.doc_id not in (4, 10, 6, 7, 8)]) and len(left) == 9
+
+    clean = corpus_pipeline.no_benchmark(spark, docs, sf)
+    assert clean.columns == docs.columns
+    want = [r for r in key(docs.collect()) if r[0] not in ("5", "6")] + [("5", f"{prose}  tail")]
+    assert key(clean.collect()) == sorted(want)
+
+    packed = corpus_pipeline.packed_sequences(spark, docs, sf).collect()
+    assert sorted(str(r.doc_id) for r in packed) == sorted(str(r.doc_id) for r in docs.collect())
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+    monkeypatch.setattr(corpus_pipeline.quality_net, "keep_good", lambda rows, labels: rows)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} >= {None, 1, 3, 5, 9, 11}
