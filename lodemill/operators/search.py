@@ -22,9 +22,14 @@ def terms_of(text: str) -> list[str]:
     return [w.lower()[:TERM_CHARS] for w in re.findall(r"[A-Za-z0-9]+", text)]
 
 
-def _held(term: str) -> str:
-    """Pattern of a word that counts as the term; of a term of the greatest length, of all words that begin with it."""
-    return rf"(?i)(?<![a-z0-9]){term}" + ("" if len(term) == TERM_CHARS else "(?![a-z0-9])")
+def _held(terms: list[str]) -> str:
+    """Pattern of a word that counts as one of the terms; for a term of the greatest length, any word that begins with it.
+
+    The look behind comes after the first character, as most places of a text fail there already.
+    """
+    letters = lambda t: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in t)
+    one = lambda t: f"{letters(t[0])}(?<![A-Za-z0-9].){letters(t[1:])}" + ("" if len(t) == TERM_CHARS else "(?![A-Za-z0-9])")
+    return "|".join(map(one, terms))
 
 
 def text_search(df: DataFrame, query: str, fields: list[str] | None = None, match_all: bool = False, limit: int = 0) -> DataFrame:
@@ -41,10 +46,11 @@ def text_search(df: DataFrame, query: str, fields: list[str] | None = None, matc
         raise InvalidArgument("the query has no term")
     columns = [F.col(f"`{f}`") for f in fields]
     distinct = list(dict.fromkeys(terms))
-    met = [reduce(lambda a, b: a | b, [F.coalesce(c.rlike(_held(t)), F.lit(False)) for c in columns]) for t in distinct]
+    holds = lambda some: reduce(lambda a, b: a | b, [F.coalesce(c.rlike(_held(some)), F.lit(False)) for c in columns])
     # A row that holds a term scores; so what has none is never counted.
-    found = df.filter(reduce((lambda a, b: a & b) if match_all else (lambda a, b: a | b), met))
-    counts = [F.coalesce(F.regexp_count(c, F.lit(_held(t))), F.lit(0)) * terms.count(t) for t in distinct for c in columns]
+    found = df.filter(reduce(lambda a, b: a & b, [holds([t]) for t in distinct]) if match_all else holds(distinct))
+    weights = sorted({terms.count(t) for t in distinct})
+    counts = [F.coalesce(F.regexp_count(c, F.lit(_held([t for t in distinct if terms.count(t) == w]))), F.lit(0)) * w for w in weights for c in columns]
     found = found.withColumn("_score", reduce(lambda a, b: a + b, counts).cast("long"))
     found = found.orderBy(F.desc("_score"), *(["id"] if "id" in df.columns else []))
     return found.limit(limit) if limit else found

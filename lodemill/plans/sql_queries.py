@@ -109,6 +109,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
         "SELECT n_name, CAST(0 AS BIGINT) AS n FROM nation",
     ),
     "win_whole_table": ("SELECT n_name, COUNT(*) OVER () AS n FROM nation", None),
+    "win_whole_join": (
+        "SELECT a.n_name AS n_name, SUM(b.n_nationkey) OVER () AS s, MAX(a.n_name) OVER () AS m FROM nation a JOIN nation b ON a.n_nationkey = b.n_regionkey WHERE b.n_nationkey > 7",
+        "SELECT a.n_name, CAST(SUM(b.n_nationkey) OVER () AS DOUBLE) AS s, MAX(a.n_name) OVER () AS m FROM nation a JOIN nation b ON a.n_nationkey = b.n_regionkey WHERE b.n_nationkey > 7",
+    ),
     # order and limits
     "order_multi": ("SELECT p_brand, p_size, p_partkey FROM part ORDER BY p_brand DESC, p_size, p_partkey LIMIT 50", None),
     "order_not_selected": ("SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 5", None),
