@@ -60,18 +60,16 @@ def shingles(block: TextBlock, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the sorted distinct shingles of each text; text i has hashes[first[i]:first[i + 1]]."""
     words = block.words(NOT_SPACE)
     single = block.hashes(words.starts, words.ends)
-    all_hashes, all_texts = [], []
     h, at = windows(single, words, n)
-    all_hashes.append(h)
-    all_texts.append(words.text[at])
+    all_hashes, all_texts = [h], [words.text[at]]
     counts = words.counts()
-    for k in range(1, n):
+    for k in range(1, n) if (counts < n).any() else ():
         h, at = windows(single, words, k)
         short = counts[words.text[at]] == k
         all_hashes.append(h[short])
         all_texts.append(words.text[at][short])
     h, text = np.concatenate(all_hashes), np.concatenate(all_texts)
-    order = np.lexsort((h, text))
+    order = np.lexsort((h, text)) if block.n > 1 else np.argsort(h)
     h, text = h[order], text[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])

@@ -36,6 +36,8 @@ from lodemill.llm.textblock import TextBlock, mix
 LENGTH = 100
 #: Bytes of an anchor.
 GRAM = 24
+#: Bytes of text whose strings are dealt at once; with what they overlap less than twice as many.
+PIECE = 1 << 20
 #: Bytes of segments that a suffix-sorting task aims at.
 SHARD_BYTES = 2 << 20
 #: Anchors dealt by string that are broadcast; more are joined.
@@ -59,20 +61,28 @@ def _least_in_windows(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _segments(block: TextBlock, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first byte, byte after the last, text) of every segment."""
-    n = len(block.data)
+    """(anchor, first byte, byte after the last, text) of every segment. A block longer than PIECE is read in pieces, at
+    whose ends segments end; every string still has its own anchor, and is in one segment."""
+    found = [_piece(block, at, length, gram) for at in range(0, max(1, len(block.data) - length + 1), PIECE)]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _piece(block: TextBlock, begin: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of the strings that begin in the PIECE bytes from begin on."""
+    n = min(len(block.data), begin + PIECE + length - 1) - begin
     empty = np.zeros(0, np.int64)
     if n < length:
         return empty.astype(np.uint64), empty, empty, empty
     at = np.arange(n - gram + 1)
-    grams = block.hashes(at, at + gram)
-    bits = np.uint64(int(n).bit_length())
+    grams = block.hashes(at + begin, at + begin + gram)
+    # The place in the low bits, as many in every piece: of equal hashes the first counts.
+    bits = np.uint64(PIECE.bit_length())
     mask = (np.uint64(1) << bits) - np.uint64(1)
-    # The place in the low bits: of equal hashes the first counts.
     least = _least_in_windows((mix(grams) & ~mask) | at.astype(np.uint64), length - gram + 1)
     place = (least & mask).astype(np.int64)
-    text = np.repeat(np.arange(block.n), np.diff(block.at))[: len(place)]
-    inside = np.flatnonzero(np.arange(len(place)) + length <= block.at[text + 1])
+    starts = begin + np.arange(len(place))
+    text = np.searchsorted(block.at, starts, "right") - 1
+    inside = np.flatnonzero(starts + length <= block.at[text + 1])
     if not len(inside):
         return empty.astype(np.uint64), empty, empty, empty
     opens = np.ones(len(inside), bool)
@@ -80,7 +90,7 @@ def _segments(block: TextBlock, length: int, gram: int) -> tuple[np.ndarray, np.
     first = np.flatnonzero(opens)
     start = inside[first]
     stop = inside[np.append(first[1:], len(inside)) - 1] + length
-    return grams[place[start]], start, stop, text[start]
+    return grams[place[start]], start + begin, stop + begin, text[start]
 
 
 def _merged(key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+#: Bytes up to which a block is hashed at once; a longer one (a single long text) in parts of that size.
+PART = 1 << 21
+
 #: Bytes of words when white space is the six ASCII characters.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -38,6 +41,17 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _bits(size: int) -> int:
+    return max(16, int(size + 1).bit_length())
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Sums of the values of the bytes before each place, each times the base to the power of its place."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _powers(_bits(len(data)))[0][: len(data)], out=out[1:])
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -76,18 +90,44 @@ class TextBlock:
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.at[i] : self.at[i + 1]].tobytes()
 
-    def _powers(self) -> tuple[np.ndarray, np.ndarray]:
-        return _powers(max(16, int(len(self.data) + 1).bit_length()))
-
     def _prefix(self) -> np.ndarray:
         if self._sums is None:
-            self._sums = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(_BYTE_VALUES[self.data] * self._powers()[0][: len(self.data)], out=self._sums[1:])
+            self._sums = _sums(self.data)
         return self._sums
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        s = self._prefix()
-        return mix((s[ends] - s[starts]) * self._powers()[1][starts])
+        """Of byte ranges. Memory beyond the result is bounded by PART, whatever the block's length."""
+        if len(self.data) <= PART:
+            s = self._prefix()
+            return mix((s[ends] - s[starts]) * _powers(_bits(len(self.data)))[1][starts])
+        if (starts[1:] < starts[:-1]).any():
+            order = np.argsort(starts, kind="stable")
+            out = np.empty(len(starts), np.uint64)
+            out[order] = self.hashes(starts[order], ends[order])
+            return out
+        out = np.empty(len(starts), np.uint64)
+        size = ends - starts
+        long = np.flatnonzero(size > PART)
+        for i in long.tolist():
+            out[i] = self._long(int(starts[i]), int(ends[i]))
+        rest = np.flatnonzero(size <= PART) if len(long) else np.arange(len(starts))
+        i = 0
+        while i < len(rest):
+            base = starts[rest[i]]
+            j = int(np.searchsorted(starts[rest], base + PART, "left"))
+            own = rest[i:j]
+            a, b = starts[own] - base, ends[own] - base
+            s = _sums(self.data[base : base + b.max()])
+            out[own] = mix((s[b] - s[a]) * _powers(_bits(2 * PART))[1][a])
+            i = j
+        return out
+
+    def _long(self, start: int, end: int) -> np.uint64:
+        total, scale = 0, 1
+        for at in range(start, end, PART):
+            total += int(_sums(self.data[at : min(end, at + PART)])[-1]) * scale
+            scale = scale * pow(_BASE, PART, 1 << 64) % (1 << 64)
+        return mix(np.array([total % (1 << 64)], np.uint64))[0]
 
     def words(self, is_word: np.ndarray) -> Spans:
         m = is_word[self.data]
@@ -119,9 +159,11 @@ class TextBlock:
 
     def sums(self, per_byte: np.ndarray) -> np.ndarray:
         """Sum over the bytes of each text."""
-        total = np.zeros(len(per_byte) + 1, np.int64)
-        np.cumsum(per_byte, out=total[1:])
-        return total[self.at[1:]] - total[self.at[:-1]]
+        out = np.zeros(self.n, np.int64)
+        full = np.flatnonzero(np.diff(self.at))
+        if len(full):
+            out[full] = np.add.reduceat(per_byte, self.at[full], dtype=np.int64)
+        return out
 
 
 def windows(values: np.ndarray, spans: Spans, n: int) -> tuple[np.ndarray, np.ndarray]:
