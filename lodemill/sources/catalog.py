@@ -7,11 +7,7 @@ manifest; folders that no manifest names are garbage, which ``collect`` removes.
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
-import shutil
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,7 +15,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lodemill.errors import Locked, NotFound, ReadOnly, VersionMismatch
+from lodemill.errors import NotFound, ReadOnly, VersionMismatch
+from lodemill.sources.files import files_of
 
 FORMAT = [1, 0]
 MANAGED = [T.StructField("id", T.LongType()), T.StructField("created_at", T.LongType()), T.StructField("updated_at", T.LongType())]
@@ -31,59 +28,44 @@ def new_table() -> dict:
 
 class Catalog:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        self.spark, self.root, self.read_only = spark, root, read_only
-        if not os.path.isdir(root):
+        self.spark, self.files, self.read_only = spark, files_of(spark, root), read_only
+        if not self.files.has():
             if read_only:
                 raise NotFound(f"no database in {root}")
-            os.makedirs(root)
+            self.files.make()
         self.load()  # it must be readable
 
     @property
-    def _path(self) -> str:
-        return os.path.join(self.root, "manifest.json")
+    def root(self) -> str:
+        return self.files.root
 
     def load(self) -> dict:
-        if not os.path.exists(self._path):
+        text = self.files.read("manifest.json")
+        if text is None:
             return {"format": FORMAT, "version": 0, "tables": {}, "views": {}}
-        with open(self._path) as f:
-            state = json.load(f)
+        state = json.loads(text)
         if state["format"][0] != FORMAT[0]:
             raise VersionMismatch(f"format {state['format'][0]}; this reads {FORMAT[0]}")
         return {"version": 0} | state
 
     def path(self, folder: str) -> str:
-        return os.path.join(self.root, folder)
+        return self.files.path(folder)
 
     def has(self, folder: str) -> bool:
-        return os.path.isdir(self.path(folder))
+        return self.files.has(folder)
 
     def remove(self, folder: str) -> None:
-        shutil.rmtree(self.path(folder))
+        self.files.remove(folder)
 
     @contextmanager
     def lock(self) -> Iterator[None]:
         if self.read_only:
             raise ReadOnly("the database was opened for reading")
-        with open(os.path.join(self.root, ".lock"), "w") as f:
-            try:
-                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-            except OSError:
-                raise Locked("another process is writing") from None
+        with self.files.lock():
             yield
 
     def publish(self, state: dict) -> None:
-        """Write the next version beside the manifest, flush it to disk, replace the manifest, and flush the folder."""
-        beside = f"{self._path}.{uuid.uuid4().hex}"
-        with open(beside, "w") as f:
-            json.dump(state | {"version": state["version"] + 1}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(beside, self._path)
-        folder = os.open(self.root, os.O_RDONLY)
-        try:
-            os.fsync(folder)
-        finally:
-            os.close(folder)
+        self.files.replace("manifest.json", json.dumps(state | {"version": state["version"] + 1}))
 
     @staticmethod
     def schema(meta: dict) -> T.StructType:
@@ -94,32 +76,26 @@ class Catalog:
         schema = self.schema(meta)
         if not meta["files"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[os.path.join(self.root, p) for p in meta["files"]])
+        return self.spark.read.schema(schema).parquet(*[self.path(p) for p in meta["files"]])
 
     def write(self, df: DataFrame, table: str) -> str:
-        path = os.path.join("data", table, uuid.uuid4().hex)
-        df.write.parquet(os.path.join(self.root, path))
-        return path
-
-    def _folders(self) -> Iterator[str]:
-        for top, folders, _ in os.walk(os.path.join(self.root, "data")):
-            if os.path.relpath(top, self.root).count(os.sep) == 1:
-                yield from (os.path.join(os.path.relpath(top, self.root), d) for d in folders)
-                folders.clear()
+        folder = f"data/{table}/{uuid.uuid4().hex}"
+        df.write.parquet(self.path(folder))
+        return folder
 
     def collect(self, keep_seconds: float = 0) -> int:
         """Remove folders that the manifest doesn't name and nothing was written to for a time; how many there were."""
         with self.lock():
             named = {p for m in self.load()["tables"].values() for p in m["files"]}
-            old = [p for p in self._folders() if p not in named and os.path.getmtime(self.path(p)) <= time.time() - keep_seconds]
+            every = [p for t in self.files.folders("data") for p in self.files.folders(t)]
+            old = [p for p in every if p not in named and self.files.age(p) >= keep_seconds]
             for p in old:
                 self.remove(p)
         return len(old)
 
     def folder_bytes(self, folder: str) -> int:
-        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(self.path(folder)) for f in names)
+        return self.files.size(folder)
 
     def garbage_bytes(self, table: str, meta: dict) -> int:
         """Bytes of the folders written for a table that it doesn't name any more."""
-        home = os.path.join("data", table)
-        return sum(self.folder_bytes(p) for p in self._folders() if os.path.dirname(p) == home and p not in meta["files"])
+        return sum(self.folder_bytes(p) for p in self.files.folders(f"data/{table}") if p not in meta["files"])

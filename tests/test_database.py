@@ -198,6 +198,31 @@ def test_a_write_leaves_folders_without_a_hit(spark, tmp_path):
     assert "Join" not in plan
 
 
+def test_a_database_on_a_store_that_only_hadoop_reads(spark, tmp_path):
+    """viewfs has no local path, so every file goes through Hadoop."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.box.link./in", f"file://{tmp_path}")
+    root = "viewfs://box/in/db"
+    with pytest.raises(errors.NotFound):
+        open_database(spark, root, read_only=True)
+    a, b = (open_database(spark, root) for _ in range(2))
+    a.exec_sql("CREATE TABLE t (k INT UNIQUE, s TEXT)")
+    a.exec_sql("INSERT INTO t (k, s) VALUES (1, 'x'), (2, 'y')")
+    b.exec_sql("UPDATE t SET s = 'z' WHERE k = 2")
+    with a.change(), pytest.raises(errors.Locked):
+        b.add("t", {"k": 9})
+    a.begin()
+    a.add("t", {"k": 3})
+    b.add("t", {"k": 4})
+    with pytest.raises(errors.TransactionError):
+        a.commit()
+    a.rollback()
+    assert a.stats("t")["garbage_bytes"] > 0
+    a.compact("t", keep_seconds=0)
+    assert a.stats("t")["garbage_bytes"] == 0 and b.stats("t")["files"] == 1
+    assert sorted((r.k, r.s) for r in b.find("t").collect()) == [(1, "x"), (2, "z"), (4, None)]
+
+
 def test_set_default_takes_values_of_the_column(db):
     db.exec_sql("CREATE TABLE t (n INT, s TEXT)")
     with pytest.raises(errors.TypeMismatch):
