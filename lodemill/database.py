@@ -95,7 +95,7 @@ class Database:
                 small = [p for p in meta["files"] if sizes[p] < SMALL_BYTES]
                 if len(small) > 1:
                     rows = self.catalog.read(meta | {"files": small}).coalesce(_files(sum(sizes[p] for p in small)))
-                    meta["files"] = [p for p in meta["files"] if p not in small] + [self.catalog.write(rows, name)]
+                    meta["files"] = [p for p in meta["files"] if p not in small] + [self.catalog.write(rows, name, meta)]
         self.catalog.publish(staged)
 
     # --- transactions
@@ -221,7 +221,7 @@ class Database:
             meta["columns"].pop(column, None)
             meta["checks"] = [c for c in meta["checks"] if c["column"] != column]
             meta["indexes"] = [i for i in meta["indexes"] if column not in i]
-            meta["files"] = [self.catalog.write(rows, table)] if meta["files"] else []
+            meta["files"] = [self.catalog.write(rows, table, meta)] if meta["files"] else []
 
     def rename_column(self, table: str, old: str, new: str) -> None:
         with self.change(schema=True) as state:
@@ -242,7 +242,7 @@ class Database:
                 for fk in m["fks"]:
                     if fk["table"] == table:
                         fk["refs"] = swap(fk["refs"])
-            meta["files"] = [self.catalog.write(rows, table)] if meta["files"] else []
+            meta["files"] = [self.catalog.write(rows, table, meta)] if meta["files"] else []
 
     def rename_table(self, old: str, new: str) -> None:
         with self.change(schema=True) as state:
@@ -269,7 +269,7 @@ class Database:
                 raise TypeMismatch(f"not all of {table}.{column} are {kind}")
             schema = T.StructType.fromJson(meta["schema"])
             meta["schema"] = T.StructType([T.StructField(f.name, SPARK_TYPES[kind] if f.name == column else f.dataType) for f in schema]).jsonValue()
-            meta["files"] = [self.catalog.write(rows.withColumn(column, cast), table)] if meta["files"] else []
+            meta["files"] = [self.catalog.write(rows.withColumn(column, cast), table, meta)] if meta["files"] else []
 
     def alter_column(self, table: str, column: str, **flags: bool) -> None:
         """not_null or unique, set or dropped; what is set must hold already."""
@@ -291,7 +291,8 @@ class Database:
             self.meta(table, state)["columns"].get(column, {}).pop("default", None)
 
     def create_index(self, table: str, columns: list[str]) -> None:
-        """An index is a promise without effect on results; files keep statistics for each column anyway."""
+        """Bloom filters on the columns, in the rows that are there, which are sorted by them file by file, and in all that
+        come. Equality filters on the columns then skip most of the table; results don't depend on it."""
         with self.change(schema=True) as state:
             meta = self.meta(table, state)
             for c in columns:
@@ -299,6 +300,18 @@ class Database:
             if any(sorted(i) == sorted(columns) for i in meta["indexes"]):
                 raise AlreadyExists(f"an index on {', '.join(columns)}")
             meta["indexes"].append(list(columns))
+            if meta["files"]:
+                rows = self.catalog.read(meta).sortWithinPartitions(*[f"`{c}`" for c in columns])
+                meta["files"] = [self.catalog.write(rows, table, meta)]
+
+    def index_stats(self, table: str) -> list[dict]:
+        """Each index with its number of distinct keys and the most rows that one has."""
+        rows, out = self.table(table), []
+        for columns in self.meta(table)["indexes"]:
+            keys = rows.groupBy(*[f"`{c}`" for c in columns]).count()
+            found = keys.agg(F.count("*").alias("keys"), F.max("count").alias("most"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).first()
+            out.append({"columns": columns, **found.asDict()})
+        return out
 
     def drop_index(self, table: str, columns: list[str]) -> None:
         with self.change(schema=True) as state:
@@ -397,7 +410,7 @@ class Database:
         if check_fk:
             rules.check_parents(table, meta, new, lambda t: self.table(t, state))
         if n:
-            meta["files"] = [*meta["files"], self.catalog.write(new.coalesce(1) if n < 100_000 else new, table)]
+            meta["files"] = [*meta["files"], self.catalog.write(new.coalesce(1) if n < 100_000 else new, table, meta)]
             meta["next_id"] += n
 
     def insert_frame(self, state: dict, table: str, rows: DataFrame, columns: list[str], check_fk: bool = True) -> tuple[int, int]:
@@ -454,10 +467,10 @@ class Database:
         busy = meta | {"files": [p for p in meta["files"] if p not in idle]}
         return idle, self._marked(self.catalog.read(busy).alias(table), filters)
 
-    def _count_into(self, rows: DataFrame, table: str) -> tuple[str, int]:
+    def _count_into(self, rows: DataFrame, table: str, meta: dict) -> tuple[str, int]:
         """Write rows without HIT; (folder, number of hits)."""
         seen = Observation()
-        path = self.catalog.write(rows.observe(seen, F.coalesce(F.sum(F.col(HIT).cast("long")), F.lit(0)).alias("n")).drop(HIT), table)
+        path = self.catalog.write(rows.observe(seen, F.coalesce(F.sum(F.col(HIT).cast("long")), F.lit(0)).alias("n")).drop(HIT), table, meta)
         return path, seen.get["n"]
 
     def update_rows(self, state: dict, table: str, filters: list[str] | Column | DataFrame | None, values: dict) -> tuple[DataFrame, int]:
@@ -484,7 +497,7 @@ class Database:
             rules.check_rows(table, meta, new, others)
         if not meta["files"] or (len(idle) == len(meta["files"])):
             return new, 0
-        path, n = self._count_into(after, table)
+        path, n = self._count_into(after, table, meta)
         if n:
             meta["files"] = [*idle, path]
             self._after_change(state, table, marked.filter(HIT).drop(HIT), new, set(values))
@@ -503,7 +516,7 @@ class Database:
         meta = self.meta(table, state)
         others = rows.join(old.select("id"), "id", "left_anti")
         rules.check_rows(table, meta, new, others)
-        meta["files"] = [self.catalog.write(others.select(*rows.columns).unionByName(new.select(*rows.columns)), table)]
+        meta["files"] = [self.catalog.write(others.select(*rows.columns).unionByName(new.select(*rows.columns)), table, meta)]
         self._after_change(state, table, old, new, changed)
 
     @staticmethod
@@ -539,7 +552,7 @@ class Database:
         # Hits are counted where they are dropped.
         seen = Observation()
         left = marked.observe(seen, F.coalesce(F.sum(F.col(HIT).cast("long")), F.lit(0)).alias("n")).filter(~F.col(HIT)).drop(HIT)
-        path = self.catalog.write(left, table)
+        path = self.catalog.write(left, table, meta)
         n = seen.get["n"]
         if not n:
             return doomed, 0
@@ -650,7 +663,7 @@ class Database:
         with self.change(schema=True) as state:
             meta = self.meta(table, state)
             size = sum(map(self.catalog.folder_bytes, meta["files"]))
-            meta["files"] = [self.catalog.write(self.catalog.read(meta).coalesce(_files(size)), table)] if meta["files"] else []
+            meta["files"] = [self.catalog.write(self.catalog.read(meta).coalesce(_files(size)), table, meta)] if meta["files"] else []
         self.catalog.collect(keep_seconds)
 
     # --- SQL

@@ -300,6 +300,27 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two).withColumn("said", F.lit(",".join(said)))
 
 
+def index_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = with_tables(spark, sf_dir, "nation")
+    db.exec_sql("CREATE INDEX ON nation (n_regionkey)")
+    db.exec_sql("CREATE INDEX ON nation (n_regionkey, n_name)")
+    db.exec_sql("INSERT INTO nation (n_nationkey, n_name, n_regionkey) VALUES (70, 'NATION_X', 3), (71, 'NATION_X', 3)")
+    return told(spark, [("+".join(i["columns"]), [i["keys"], i["most"], i["rows"]]) for i in db.index_stats("nation")])
+
+
+def shell_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of the shell, and what it prints."""
+    import contextlib
+    import io
+
+    from lodemill.__main__ import shell
+
+    db, said = with_tables(spark, sf_dir, "region"), io.StringIO()
+    with contextlib.redirect_stdout(said):
+        shell(db, ["tables", "count region", "add region r_regionkey=9 r_name=more", "count region r_regionkey__gte=3", "update region r_regionkey=9 set r_name=less", "get region 99", "find nowhere", "delete region r_name=less", "drop region", "tables", "quit", "count region"])
+    return told(spark, [(f"{i:02}", line) for i, line in enumerate(said.getvalue().splitlines())])
+
+
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     db = with_tables(spark, sf_dir, "region")
     said = []
@@ -460,6 +481,14 @@ QUERIES: dict[str, Query] = {
             ("garbage", "SyntaxProblem"), ("column", "NotFound"), ("table", "NotFound"), ("good", "ok"),
         ),
     ),
+    "schema_index_stats": (
+        index_figures,
+        """SELECT 'n_regionkey' AS what, '[' || count(DISTINCT n_regionkey) || ', ' || (SELECT max(n) FROM (SELECT count(*) + CASE n_regionkey WHEN 3 THEN 2 ELSE 0 END AS n FROM nation GROUP BY n_regionkey)) || ', ' || (count(*) + 2) || ']' AS result FROM nation
+            UNION ALL SELECT 'n_regionkey+n_name', '[' || (count(DISTINCT n_name) + 1) || ', 2, ' || (count(*) + 2) || ']' FROM nation""",
+    ),
+    "shell_session": (
+        shell_session, told_sql(("00", "region"), ("01", 5), ("02", "id 6"), ("03", 3), ("04", "1 updated"), ("05", None), ("06", "error: no table nowhere"), ("07", "1 deleted"), ("08", "")),
+    ),
     "last_status": (status, told_sql(("0", "OK"), ("1", "NotFound"), ("2", "SyntaxProblem"), ("3", "NotFound"), ("4", "OK"))),
     # values
     "value_nested_equality": (

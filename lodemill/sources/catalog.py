@@ -78,9 +78,14 @@ class Catalog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self.path(p) for p in meta["files"]])
 
-    def write(self, df: DataFrame, table: str) -> str:
+    def write(self, df: DataFrame, table: str, meta: dict | None = None) -> str:
+        """A new folder of rows. Columns with an index of the table get a Bloom filter in every row group, which an
+        equality filter looks at before it reads one."""
         folder = f"data/{table}/{uuid.uuid4().hex}"
-        df.write.parquet(self.path(folder))
+        writer = df.write
+        for c in sorted({c for i in (meta or {}).get("indexes", []) for c in i}):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(self.path(folder))
         return folder
 
     def collect(self, keep_seconds: float = 0) -> int:

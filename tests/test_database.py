@@ -223,6 +223,20 @@ def test_a_database_on_a_store_that_only_hadoop_reads(spark, tmp_path):
     assert sorted((r.k, r.s) for r in b.find("t").collect()) == [(1, "x"), (2, "z"), (4, None)]
 
 
+def test_an_index_puts_bloom_filters_into_all_files(spark, tmp_path):
+    db = open_database(spark, str(tmp_path / "db"))
+    db.exec_sql("CREATE TABLE t (k INT, s TEXT)")
+    with db.change() as state:
+        db.insert_frame(state, "t", spark.range(5000).selectExpr("id * 7 % 5000 AS k", "concat('s', id) AS s"), ["k", "s"])
+    plain = db.stats("t")["bytes"]
+    db.exec_sql("CREATE INDEX ON t (k)")
+    assert db.stats("t")["bytes"] > plain + 1000
+    db.exec_sql("INSERT INTO t (k, s) VALUES (14, 'x')")
+    assert db.exec_sql("UPDATE t SET s = 'y' WHERE k = 14").affected == 2
+    assert db.exec_sql("SELECT s FROM t WHERE k = 14").rows.count() == 2 and db.count("t") == 5001
+    assert db.index_stats("t") == [{"columns": ["k"], "keys": 5000, "most": 2, "rows": 5001}]
+
+
 def test_set_default_takes_values_of_the_column(db):
     db.exec_sql("CREATE TABLE t (n INT, s TEXT)")
     with pytest.raises(errors.TypeMismatch):
