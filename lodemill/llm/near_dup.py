@@ -42,6 +42,8 @@ BLOCK = 512
 EXACT_BLOCK, EXACT_SHARE, MAX_EXACT_BLOCK = 256, 16, 4096
 #: Members of a group that one task numbers.
 NUMBERED = 50_000
+#: Links of which a task keeps a spanning forest.
+CONTRACTED = 500_000
 NULL_ID = -(1 << 63)
 
 
@@ -384,12 +386,27 @@ def verified(
     return dealt.mapInArrow(_exact(threshold, all_pairs), "x long, y long, jaccard double, others long")
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of all links of a task."""
+    x, y = [], []
+    for batch in batches:
+        x.append(batch.column("x").to_numpy())
+        y.append(batch.column("y").to_numpy())
+    if x:
+        x, y = forest(np.concatenate(x), np.concatenate(y))
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, group): every linked node with the smallest node that it can be reached from.
 
-    Every round takes the smallest label among the neighbours and then the label of that label; each round is a
-    written table. Rounds grow with the logarithm of the longest chain of links.
+    Tasks of about CONTRACTED links each keep only a spanning forest of theirs. Then every round takes the smallest label
+    among the neighbours and then the label of that label; each round is a written table. Rounds grow with the logarithm of
+    the longest chain of links.
     """
+    links = scratch.written(links.select("x", "y"))
+    links = links.repartition(max(1, links.count() // CONTRACTED)).mapInArrow(_contracted, "x long, y long")
+    links = scratch.written(links)
     edges = scratch.written(links.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("to"))))
     label = scratch.written(edges.groupBy("node").agg(F.least(F.min("node"), F.min("to")).alias("group")))
     while True:

@@ -286,3 +286,16 @@ def test_sharding_cuts_few_texts(spark, singles):
         return sum(x * x for x in collections.Counter(texts[r.doc_id] for r in out).values()) - sum(x * x for x in n.values())
 
     assert links(lambda i, r: r.shard) < 0.1 * links(lambda i, r: i % 24)
+
+
+@pytest.mark.parametrize("each", [500_000, 7])
+def test_components(spark, monkeypatch, each):
+    monkeypatch.setattr(near_dup, "CONTRACTED", each)
+    rng = np.random.default_rng(3)
+    links = [(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 400, (260, 2)) if a != b] + [(k, k + 1) for k in range(1000, 1100)]
+    top = {}
+    for a, b in links * 200:
+        top[a] = top[b] = min(top.get(a, a), top.get(b, b))
+    found = near_dup.components(spark.createDataFrame(links, "x long, y long"), Scratch(spark, "test")).collect()
+    assert {r.node: r.group for r in found} == top
+    assert near_dup.components(spark.createDataFrame([], "x long, y long"), Scratch(spark, "test")).count() == 0
