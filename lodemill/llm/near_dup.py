@@ -375,7 +375,7 @@ def verified(
     members = scratch.written(nodes.select("node", "k1", "k2", "id", "row", "n", "members").join(groups, "node"))
     texts = docs.select(_id(F.col("doc_id")).alias("id"), F.xxhash64("text").alias("row"), F.col("text").cast("string"))
     found = texts.join(members.select("id", "row").hint("shuffle_hash"), ["id", "row"], "left_semi").mapInArrow(sets, "k1 long, k2 long, set binary")
-    found = scratch.written(found.dropDuplicates(["k1", "k2"]))
+    found = found.dropDuplicates(["k1", "k2"])
     sizes = members.groupBy("group").agg(F.count("*").alias("size"))
     placed = _numbered(members, "group", members.count()).join(sizes, "group")
     width = F.greatest(F.lit(block), F.least(F.lit(MAX_EXACT_BLOCK), (F.col("size") / EXACT_SHARE).cast("int")))
@@ -397,16 +397,26 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, group) of all links, which one task has."""
+    for batch in _contracted(batches):
+        x, y = batch.column("x").to_numpy(), batch.column("y").to_numpy()
+        top = np.unique(x)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([top, y])), pa.array(np.concatenate([top, x]))], names=["node", "group"])
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, group): every linked node with the smallest node that it can be reached from.
 
-    Tasks of about CONTRACTED links each keep only a spanning forest of theirs. Then every round takes the smallest label
-    among the neighbours and then the label of that label; each round is a written table. Rounds grow with the logarithm of
-    the longest chain of links.
+    Up to CONTRACTED links are the work of one task. More are dealt to tasks of as many, which keep only a spanning forest
+    of theirs. Then every round takes the smallest label among the neighbours and then the label of that label; each round
+    is a written table. Rounds grow with the logarithm of the longest chain of links. links are read twice.
     """
-    links = scratch.written(links.select("x", "y"))
-    links = links.repartition(max(1, links.count() // CONTRACTED)).mapInArrow(_contracted, "x long, y long")
-    links = scratch.written(links)
+    links = links.select("x", "y")
+    tasks = -(-links.count() // CONTRACTED)
+    if tasks <= 1:
+        return scratch.written(links.repartition(1).mapInArrow(_labelled, "node long, group long"))
+    links = scratch.written(links.repartition(tasks).mapInArrow(_contracted, "x long, y long"))
     edges = scratch.written(links.select(F.col("x").alias("node"), F.col("y").alias("to")).unionByName(links.select(F.col("y").alias("node"), F.col("x").alias("to"))))
     label = scratch.written(edges.groupBy("node").agg(F.least(F.min("node"), F.min("to")).alias("group")))
     while True:
@@ -454,11 +464,12 @@ def near_duplicates(
     exact = scratch.written(verified(docs, nodes, candidate_groups, threshold, scratch=scratch))
     linked = exact.filter("x = y").groupBy(F.col("x").alias("node")).agg(F.sum("others").alias("others"))
     groups = components(exact.filter("x < y").select("x", "y"), scratch)
-    known = nodes.select("k1", "k2", "node", "id", "members").join(groups, "node", "left").join(linked, "node", "left")
-    known = scratch.written(known.withColumn("group", F.coalesce("group", "node")))
-    tops = known.groupBy("group").agg(F.min("id").alias("top"))
+    tops = groups.join(nodes.select("node", "id"), "node").groupBy("group").agg(F.min("id").alias("top"))
+    grouped = groups.join(tops, "group").join(linked, "node")
+    known = nodes.select("k1", "k2", "node", "id", "members").join(grouped, "node", "left")
+    known = known.withColumn("group", F.coalesce("group", "node")).withColumn("top", F.coalesce("top", "id"))
     real = lambda c: F.when(c != NULL_ID, c)
-    of_row = rows.select("id", "row", "k1", "k2").join(known.join(tops, "group"), ["k1", "k2"]).drop("node")
+    of_row = rows.select("id", "row", "k1", "k2").join(known, ["k1", "k2"]).drop("node")
     classes = of_row.select(
         real(rows["id"]).alias("doc_id"),
         real(known["id"]).alias("node"),

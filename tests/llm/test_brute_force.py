@@ -299,3 +299,26 @@ def test_components(spark, monkeypatch, each):
     found = near_dup.components(spark.createDataFrame(links, "x long, y long"), Scratch(spark, "test")).collect()
     assert {r.node: r.group for r in found} == top
     assert near_dup.components(spark.createDataFrame([], "x long, y long"), Scratch(spark, "test")).count() == 0
+
+
+def test_near_duplicates_write_few_files(spark):
+    """Rounds over few links, sets and classes are no written tables: with many partitions each is a file a partition."""
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    files = lambda scratch: sum(f.startswith("part-") for _, _, names in os.walk(scratch.root.removeprefix("file:")) for f in names)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        few, all_of_it = Scratch(spark, "few"), Scratch(spark, "all")
+        links = spark.createDataFrame([(k, k + 1) for k in range(300) if k % 10], "x long, y long")
+        assert {(r.node, r.group) for r in near_dup.components(links, few).collect()} == {(k, (k - 1) // 10 * 10 + 1) for k in range(1, 301)}
+        assert files(few) == 1
+        rows = _near_copies(5)
+        classes, _ = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), scratch=all_of_it)
+        assert classes.count() == len(rows)
+        levels = near_dup.DEPTH - near_dup.MIN_DEPTH + 1
+        # Rows, then nodes, tries, levels, members and links by partition, and one file for either set of components.
+        assert files(all_of_it) <= 4 + 40 * (4 + levels) + 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
