@@ -15,6 +15,9 @@ from lodemill.operators.filters import filters_to_column, resolve
 
 Stage = Callable[[DataFrame], DataFrame]
 
+#: Rows, skipped ones included, up to which a limit after a sort and a skip holds its rows in memory instead of sorting all.
+PAGE_ROWS = 100_000
+
 
 def match(*filters: str) -> Stage:
     return lambda df: df.filter(filters_to_column(df.schema, list(filters)))
@@ -58,18 +61,39 @@ def sort(*keys: tuple[str, bool]) -> Stage:
 
     def run(df: DataFrame) -> DataFrame:
         found = [(resolve(df.schema, k)[0], up) for k, up in keys]
-        return df.orderBy(*[c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in found if c is not None])
+        out = df.orderBy(*[c.asc_nulls_first() if up else c.desc_nulls_last() for c, up in found if c is not None])
+        out._lodemill_sorted = any(c is not None for c, _ in found)
+        return out
 
     return run
 
 
 def limit(n: int) -> Stage:
     """0 keeps no row."""
-    return lambda df: df.limit(n)
+
+    def run(df: DataFrame) -> DataFrame:
+        ordered, skipped = getattr(df, "_lodemill_skipped", (None, 0))
+        if ordered is not None and skipped + n <= PAGE_ROWS:
+            return ordered.offset(skipped).limit(n)
+        return df.limit(n)
+
+    return run
 
 
 def skip(n: int) -> Stage:
-    return lambda df: df.offset(n)
+    """The rows after the first n, in their order. One task orders them, unless a small limit comes next."""
+
+    def run(df: DataFrame) -> DataFrame:
+        if n == 0:
+            return df
+        # An offset reads sorted partitions in the order in which executors send them, so rows are put in order where they meet.
+        placed = df.select("*", F.monotonically_increasing_id().alias("_skip_at"))
+        out = placed.repartition(1).sortWithinPartitions("_skip_at").drop("_skip_at").offset(n)
+        if getattr(df, "_lodemill_sorted", False):
+            out._lodemill_skipped = (df, n)
+        return out
+
+    return run
 
 
 def project(*fields: str) -> Stage:
